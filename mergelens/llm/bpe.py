@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, kept, read, slices
+from .common import Memo, batch_of, kept, read, slices, widen
 from .encoder import byte_letters, read_spec
 
 #: The fixed split pattern of byte-level vocabularies.
@@ -198,7 +198,7 @@ def transducer(spec: str) -> Transducer:
 
 def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids (binary, little-endian unsigned 32-bit); null texts have none."""
-    schema = docs.schema.add(ids, "binary")
+    schema = widen(docs, **{ids: "binary"})
     at = docs.columns.index(text)
 
     def run(batches):
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") ->
 
 def decode(rows: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of their ids."""
-    schema = rows.schema.add(text, "string")
+    schema = widen(rows, **{text: "string"})
     at = rows.columns.index(ids)
 
     def run(batches):

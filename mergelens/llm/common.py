@@ -107,3 +107,10 @@ def kept(key, make: Callable):
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def widen(df: DataFrame, **columns: str):
+    """df's schema with more columns; the names of df must be unique, and the new ones new."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    return StructType([*df.schema.fields, *(StructField(k, _parse_datatype_string(v)) for k, v in columns.items())])

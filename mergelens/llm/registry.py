@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, tokenfile
+from . import bpe, packing, quality, tokenfile
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_packing": packing.op5_packing,
+    "op6_quality": quality.op6_quality,
     "op7_token_file": tokenfile.op7_token_file,
 }
 ORACLE: dict[str, str] = {}
