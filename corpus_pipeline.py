@@ -1,8 +1,74 @@
-"""The corpus pipeline; its stages follow."""
+"""A corpus from documents to packed sequences: five stages, each over all that the one before kept.
 
+Every stage but the last returns rows with the columns of documents. A null or empty text has no letters and ends in
+the first stage. Columns beside those of documents are dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mergelens.llm import language as language_id
+from mergelens.llm import near, packing, quality, repeats
+from mergelens.llm.common import read, table
+from mergelens.llm.encoder import read_spec
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those ids; rows without an id stay."""
+    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told."""
+    found = language_id.identify_documents(docs)
+    return without(docs, found.where(~F.col("accepted"))).where(F.col("text") != "")
+
+
+def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of sufficient quality."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest id."""
+    left = without(docs, near.classes(docs).where(F.col("doc_id") != F.col("class_id")))
+    again = table(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left
+    return without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has."""
+    left = repeats.remove(docs, keep=("lang", "source"))
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, read_spec(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language", identify),
+    ("quality", grade),
+    ("near_duplicates", deduplicate),
+    ("repeats", cut_repeats),
+    ("packing", pack),
+]
+#: SQL can express none of compression, tokens or suffix order; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, tokenfile
+from . import bpe, fingerprint, language, licences, near, packing, quality, repeats, tokenfile, topk
 
 QUERIES = {
+    "op1_fingerprint": fingerprint.op1_fingerprint,
+    "op2_topk": topk.op2_topk,
+    "op3_licences": licences.op3_licences,
     "op4_bpe": bpe.op4_bpe,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op7_token_file": tokenfile.op7_token_file,
+    "op8_near_duplicates": near.op8_near_duplicates,
+    "op9_repeats": repeats.op9_repeats,
+    "op10_language": language.op10_language,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_topk": topk.ORACLE}

@@ -246,14 +246,14 @@ def finish(data: bytes, ranges: list[tuple[int, int]] | np.ndarray):
     return len(data), int(gone.sum()), spans, kept
 
 
-DONE = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text string, ranges binary, place long, bucket int"
-DONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("ranges", pa.binary()), ("place", pa.int64()), ("bucket", pa.int32())])
+DONE = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text string, ranges binary, place long, bucket int, extra string"
+DONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("ranges", pa.binary()), ("place", pa.int64()), ("bucket", pa.int32()), ("extra", pa.string())])
 FINISHED, OPEN, SEGMENT = 0, 1, 2
 
 
-def finished(doc, data: bytes, ranges, keep_text: bool):
+def finished(doc, data: bytes, ranges, keep_text: bool, extra: str | None = None):
     n, removed, spans, kept = finish(data, ranges)
-    return FINISHED, doc, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, None, None, None, None
+    return FINISHED, doc, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, None, None, None, None, extra
 
 
 def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep_text: bool) -> DataFrame:
@@ -265,7 +265,7 @@ def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep
             made = []
             cols = [c.to_pylist() for c in batch.columns]
             texts = []
-            for shard, first, docs, counts, whole, is_open, doc, text in zip(*cols, strict=True):
+            for shard, first, docs, counts, whole, is_open, doc, text, extra in zip(*cols, strict=True):
                 if shard != at:
                     made += settle(texts, keys, opens, flagged)
                     texts, at, parts, keys = [], shard, [], None
@@ -274,7 +274,7 @@ def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep
                     continue
                 if keys is None:
                     keys, opens, flagged = index(parts)
-                texts.append((doc, text))
+                texts.append((doc, text, extra))
             made += settle(texts, keys, opens, flagged)
             if made:
                 yield batch_of(DONE_SCHEMA, *map(list, zip(*made, strict=True)))
@@ -291,10 +291,10 @@ def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep
     def settle(texts, keys, opens, flagged):
         if not texts:
             return []
-        ids = np.array([-1 if d is None else d for d, _ in texts], np.int64)
-        hit = np.isin(ids, flagged) & np.array([d is not None for d, _ in texts])
-        made = [finished(d, (t or "").encode(), (), keep_text) for (d, t), h in zip(texts, hit, strict=True) if not h]
-        some = [(d, (t or "").encode(), t) for (d, t), h in zip(texts, hit, strict=True) if h]
+        ids = np.array([-1 if d is None else d for d, *_ in texts], np.int64)
+        hit = np.isin(ids, flagged) & np.array([d is not None for d, *_ in texts])
+        made = [finished(d, (t or "").encode(), (), keep_text, x) for (d, t, x), h in zip(texts, hit, strict=True) if not h]
+        some = [(d, (t or "").encode(), t, x) for (d, t, x), h in zip(texts, hit, strict=True) if h]
         if not some:
             return made
         flat, starts = flat_bytes([x[1] for x in some])
@@ -306,17 +306,17 @@ def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep
         gone = found & ~is_open
         begin = first - starts[owner]
         end = begin + count - 1 + length
-        for i, (doc, data, text) in enumerate(some):
+        for i, (doc, data, text, extra) in enumerate(some):
             lo, hi = np.searchsorted(owner, [i, i + 1])
             g = gone[lo:hi]
             ranges = np.c_[begin[lo:hi][g], end[lo:hi][g]]
             o = np.flatnonzero(is_open[lo:hi]) + lo
             if not len(o):
-                made.append(finished(doc, data, ranges, keep_text))
+                made.append(finished(doc, data, ranges, keep_text, extra))
                 continue
-            made.append((OPEN, doc, None, None, None, None, None, text, ranges.astype("<i8").tobytes(), None, None))
+            made.append((OPEN, doc, None, None, None, None, None, text, ranges.astype("<i8").tobytes(), None, None, extra))
             for j in o.tolist():
-                made.append((SEGMENT, doc, None, None, None, None, None, None, data[begin[j] : end[j]], int(begin[j]), int(low[j] % U64(buckets))))
+                made.append((SEGMENT, doc, None, None, None, None, None, None, data[begin[j] : end[j]], int(begin[j]), int(low[j] % U64(buckets)), None))
         return made
 
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
@@ -384,43 +384,50 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
 
 
 def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
-    """rows: shard, first, doc_id, ranges, text; a document's text comes after its ranges."""
+    """rows: shard, first, doc_id, ranges, text, extra; a document's text comes after its ranges."""
 
     def run(batches):
         at, known = None, {}
         for batch in slices(batches, 4, WORDS_PER_SLICE):
             made = []
-            for shard, first, doc, ranges, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, first, doc, ranges, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != at:
                     at, known = shard, {}
                 more = np.frombuffer(ranges, "<i8").reshape(-1, 2)
                 if not first:
                     known.setdefault(doc, []).append(more)
                 else:
-                    made.append(finished(doc, text.encode(), np.concatenate([more, *known.get(doc, ())]), keep_text))
+                    made.append(finished(doc, text.encode(), np.concatenate([more, *known.get(doc, ())]), keep_text, extra))
             if made:
                 yield batch_of(DONE_SCHEMA, *map(list, zip(*made, strict=True)))
 
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
 
 
-def remove(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the kept text (bytes of cut characters left out)."""
+def remove(docs: DataFrame, length: int = 50, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with a tuple of columns to keep also these and `kept`, the text left (bytes of cut characters left out)."""
     spark = docs.sparkSession
+    keep_text, columns = keep is not None, keep or ()
     buckets = shards = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    extra = F.to_json(F.struct(*columns)) if columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra"))
     found = judge(send(rows, length, buckets), buckets, shards)
     nothing = F.lit(None)
-    left = found.withColumns({"doc_id": nothing.cast("long"), "text": nothing.cast("string")})
+    text, more = nothing.cast("string").alias("text"), nothing.cast("string").alias("extra")
+    left = found.select("*", nothing.cast("long").alias("doc_id"), text, more)
     right = rows.select(
-        F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)).cast("int").alias("shard"), F.lit(1).alias("first"), *[nothing.cast("binary").alias(c) for c in ("docs", "counts", "whole", "open")], "doc_id", "text",
+        F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)).cast("int").alias("shard"), F.lit(1).alias("first"), *[nothing.cast("binary").alias(c) for c in ("docs", "counts", "whole", "open")], "doc_id", "text", "extra",
     )
     done = table(apply_findings(left.unionByName(right), length, buckets, shards, keep_text), "repeats")
     closed = done.where(F.col("kind") == FINISHED)
-    ranges = resolve(done.where(F.col("kind") == SEGMENT), length, buckets, shards).withColumn("text", nothing.cast("string"))
-    opened = done.where(F.col("kind") == OPEN).select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("first"), "doc_id", "ranges", "text")
+    ranges = resolve(done.where(F.col("kind") == SEGMENT), length, buckets, shards).select("*", text, more)
+    opened = done.where(F.col("kind") == OPEN).select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("first"), "doc_id", "ranges", "text", "extra")
     every = closed.unionByName(complete(ranges.unionByName(opened), shards, keep_text))
-    return every.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
+    figures = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if not keep_text:
+        return every.select(*figures)
+    back = F.from_json("extra", docs.select(*columns).schema) if columns else None
+    return every.select(*figures, *[back[c].alias(c) for c in columns], "kept")
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
