@@ -1 +1 @@
-
+"""Column functions: texts, paths, diffs."""
