@@ -10,8 +10,9 @@ Links are found without all pairs of a bucket:
 1. equal texts are one class from the start, and only their smallest doc_id goes on;
 2. every member of a bucket is compared with the bucket's smallest, first in the first bands, then in the others where the two are not
    yet in one component;
-3. pairs of a bucket that are still in different components are compared one and all, but where their distances
-   to the bucket's smallest exclude similarity 0.8 (1 - probability Jaccard is a metric).
+3. where a bucket's members are still in different components, all outside its most frequent component are compared with all members of
+   the buckets that have the same, in blocks: members are dealt to blocks of some 256, the others are sent to each block, and only
+   links leave it.
 
 Pairs are verified by their exact probability Jaccard (0.8 or more). Components come from minimum labels
 with pointer jumping; everything that a later step reads again is a table in the shared folder.
@@ -85,18 +86,21 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact, of two weighted sets: sorted shingles and their counts."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(i):
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    j = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = b[0][j] == a[0]
+    n = int(i.sum())
+    if not n:
         return 0.0
     if a[1].max() == 1 == b[1].max():
-        return len(i) / (len(a[0]) + len(b[0]) - len(i))
-    wa, wb = a[1].astype(float), b[1].astype(float)
-    ca, cb = wa[i], wb[j]
-    only_a, only_b = wa.sum() - ca.sum(), wb.sum() - cb.sum()
-    total = 0.0
-    for (p, q), n in zip(*np.unique(np.c_[ca, cb], axis=0, return_counts=True), strict=True):
-        total += n / (only_a / p + only_b / q + np.maximum(ca / p, cb / q).sum())
-    return float(total)
+        return n / (len(a[0]) + len(b[0]) - n)
+    ca, cb = a[1][i].astype(float), b[1][j[i]].astype(float)
+    only_a, only_b = a[1].sum() - ca.sum(), b[1].sum() - cb.sum()
+    # a shingle's term depends on its two weights by their ratio only, but for the factor of the first
+    ratios, of = np.unique(ca / cb, return_inverse=True)
+    total = np.bincount(of, ca)
+    return float(sum(t / (only_a + r * only_b + np.maximum(ca, r * cb).sum()) for r, t in zip(ratios, total, strict=True)))
 
 
 def shingled(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -143,20 +147,84 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """doc, label of every document in links (a, b): the smallest in its component."""
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """doc, label of every document in links (a, b): the smallest in its component. start: labels from some of the links."""
     both = table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = table(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("label")), "labels")
+    first = both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m"))
+    if start is None:
+        first = first.select("doc", F.least("doc", "m").alias("label"))
+    else:
+        first = first.join(start.select("doc", F.col("label").alias("s")), "doc", "left").select("doc", F.least("doc", "m", "s").alias("label"))
+    labels = table(first, "labels")
     while True:
         near = both.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("m"))
         lower = labels.join(near, "doc").select("doc", F.least("label", "m").alias("next"), F.col("label").alias("old"))
         jump = labels.select(F.col("doc").alias("next"), F.col("label").alias("far"))
         new = table(lower.join(jump, "next", "left").select("doc", F.least("next", F.coalesce("far", "next")).alias("label"), "old"), "labels")
-        if not new.where("label <> old").limit(1).count():
+        if new.where("label <> old").isEmpty():
             return new.select("doc", "label")
         labels = new.select("doc", "label")
 
 
+BLOCK = 256
+
+
+def in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: block (hash), order (0 members, 1 others), doc, label, text. Links (a, b, similarity) between members and others of a block with different labels."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    class Block:
+        def __init__(self):
+            self.docs, self.labels, self.sets, self.ready = [], [], [], False
+
+        def close(self):
+            self.doc, self.label = np.array(self.docs, np.int64), np.array(self.labels, np.int64)
+            self.size = np.array([len(x[0]) for x in self.sets])
+            self.plain = np.array([not len(x[1]) or x[1].max() == 1 for x in self.sets])
+            all_of = np.concatenate([x[0] for x in self.sets]) if self.sets else np.zeros(0, U64)
+            order = np.argsort(all_of)
+            self.all, self.owner, self.ready = all_of[order], np.repeat(np.arange(len(self.sets)), self.size)[order], True
+            self.part = np.concatenate([x[1] / max(1, x[1].sum()) for x in self.sets])[order] if self.sets else np.zeros(0)
+
+        def links(self, doc, label, own):
+            lo, hi = np.searchsorted(self.all, own[0], "left"), np.searchsorted(self.all, own[0], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            common = np.bincount(self.owner[at], minlength=len(self.doc))
+            other = (self.label != label) & (common > 0)
+            plain = self.plain & (own[1].max(initial=1) == 1)
+            similar = common / (self.size + len(own[0]) - common)
+            for i in np.flatnonzero(other & plain & (similar >= threshold)):
+                yield doc, int(self.doc[i]), float(similar[i])
+            if (other & ~plain).any():  # the sum of the smaller of the two normalised weights is no less than the similarity
+                smaller = np.minimum(self.part[at], np.repeat(own[1] / own[1].sum(), n))
+                other &= np.bincount(self.owner[at], smaller, minlength=len(self.doc)) >= threshold - 1e-9
+            for i in np.flatnonzero(other & ~plain):
+                value = probability_jaccard(own, self.sets[i])
+                if value >= threshold:
+                    yield doc, int(self.doc[i]), value
+
+    def run(batches):
+        at, block = None, None
+        for batch in slices(batches, 4):
+            found = []
+            for key, order, doc, label, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at:
+                    at, block = key, Block()
+                if not order:
+                    block.docs.append(doc)
+                    block.labels.append(label)
+                    block.sets.append(shingled(words))
+                    continue
+                if not block.ready:
+                    block.close()
+                found += block.links(doc, label, shingled(words))
+            if found:
+                yield batch_of(out, *map(list, zip(*found, strict=True)))
+
+    return rows.mapInArrow(run, "a long, b long, similarity double")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, first_bands: int = 4) -> DataFrame:
     signed = table(sketch(docs), "signed")
     known = signed.where("key is not null and doc_id is not null")
@@ -169,31 +237,29 @@ def classes(docs: DataFrame, threshold: float = 0.8, first_bands: int = 4) -> Da
     texts = table(source.join(wanted, "doc", "left_semi"), "texts")
     pairs = lambda m: m.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     done = table(verified(pairs(members.where(F.col("band") < first_bands)), texts), "verified")
-    linked = lambda: done.where(F.col("similarity") >= threshold)
-    labels = components(linked())
-
-    def apart(rows, x, y):
-        """Rows whose documents x and y are in different components."""
-        lx = labels.select(F.col("doc").alias(x), F.col("label").alias("_x"))
-        ly = labels.select(F.col("doc").alias(y), F.col("label").alias("_y"))
-        return rows.join(lx, x, "left").join(ly, y, "left").where(F.coalesce("_x", x) != F.coalesce("_y", y)).drop("_x", "_y")
-
+    linked = lambda x: x.where(F.col("similarity") >= threshold).select("a", "b")
+    labels = components(linked(done))
+    lx, ly = labels.select(F.col("doc").alias("a"), F.col("label").alias("_a")), labels.select(F.col("doc").alias("b"), F.col("label").alias("_b"))
     rest = pairs(members.where(F.col("band") >= first_bands)).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    done = table(done.unionByName(verified(apart(rest, "a", "b"), texts)), "verified")
-    labels = components(linked())
-    # buckets whose members lie in different components: what has been held against the hub only
-    of = labels.select("doc", "label")
-    here = members.join(of, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = here.groupBy("band", "bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("band", "bucket")
-    far = done.select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.col("similarity"))
-    here = table(here.join(mixed, ["band", "bucket"], "left_semi").join(far, ["hub", "doc"], "left"), "mixed")
-    one = here.select("band", "bucket", F.col("doc").alias("a"), F.col("label").alias("la"), F.col("similarity").alias("sa"))
-    two = here.select("band", "bucket", F.col("doc").alias("b"), F.col("label").alias("lb"), F.col("similarity").alias("sb"))
-    near_enough = F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9, F.lit(True))
-    cross = one.join(two, ["band", "bucket"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near_enough).select("a", "b").distinct()
-    cross = cross.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    more = table(verified(cross, texts), "verified")
-    labels = components(linked().select("a", "b").unionByName(more.where(F.col("similarity") >= threshold).select("a", "b")))
+    rest = rest.join(lx, "a", "left").join(ly, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    links = table(linked(done).unionByName(linked(verified(rest, texts))), "links")
+    labels = components(links, labels)
+    # buckets whose members lie in different components: these were held against the hub only
+    here = members.select("band", "bucket", "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    counts = here.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    # buckets with one main component are one group, so that a pair which meets in several bands is compared once
+    group = table(here.join(mixed, ["band", "bucket"]).select("main", "doc", "label").distinct(), "mixed")
+    if not group.isEmpty():
+        sizes = group.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        here = group.join(sizes, "main")
+        own = here.select(F.xxhash64("main", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).alias("block"), F.lit(0).alias("order"), "doc", "label")
+        sent = here.where("label <> main").select("main", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+        both = own.unionByName(sent.select(F.xxhash64("main", "k").alias("block"), F.lit(1).alias("order"), "doc", "label"))
+        rows = both.join(texts.dropDuplicates(["doc"]), "doc").select("block", "order", "doc", "label", "text")
+        more = table(in_blocks(rows.repartition("block").sortWithinPartitions("block", "order"), threshold), "more")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more.select("a", "b")), labels)
     copies = reps.select("key", F.col("doc").alias("copy_of"))
     found = signed.select("doc_id", "key").join(copies, "key", "left").withColumn("copy_of", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_of", "doc_id")))
     return found.join(labels.select(F.col("doc").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
