@@ -63,9 +63,9 @@ def phrases(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     prior[1:], prior[0] = label[:-1], 0
     label = SMALL_COIN[(prior.astype(np.int32) << 7) | label] + np.uint8(1)
     label[first] = 0
+    after = np.append(label[1:], np.uint8(0))  # the end of the last text is like that of any other
     cut = np.zeros(n, bool)
-    if n > 2:
-        cut[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    cut[1:] = (label[1:] > label[:-1]) & (label[1:] >= after[1:])
     cut[1:] &= ~cut[:-1]
     cut |= first
     places = np.flatnonzero(cut)
