@@ -380,7 +380,7 @@ def pr_auc(spark, d):
     return metrics.pr_auc(guessed(spark, d), ["lang"])
 
 
-@query(f"WITH b AS (SELECT lang, score AS threshold, CAST(sum(quality) AS DOUBLE) AS p, CAST(sum(1 - quality) AS DOUBLE) AS q FROM ({GUESSED}) GROUP BY 1, 2) SELECT lang, threshold, round(sum(p) OVER w / sum(p) OVER (PARTITION BY lang), 6) AS tpr, round(sum(q) OVER w / sum(q) OVER (PARTITION BY lang), 6) AS fpr FROM b WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC)")
+@query(f"WITH b AS (SELECT lang, score AS threshold, CAST(sum(quality) AS DOUBLE) AS p, CAST(sum(1 - quality) AS DOUBLE) AS q FROM ({GUESSED}) GROUP BY 1, 2) SELECT lang, threshold, round(coalesce(sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY lang), 0), 0), 6) AS tpr, round(coalesce(sum(q) OVER w / nullif(sum(q) OVER (PARTITION BY lang), 0), 0), 6) AS fpr FROM b WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC)")
 def roc_points(spark, d):
     return metrics.roc_points(guessed(spark, d), ["lang"])
 
