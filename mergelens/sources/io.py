@@ -23,11 +23,11 @@ def json_lines(spark: SparkSession, path: str, schema: StructType, bad: bool = F
 
 
 def text_files(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
-    """path, text cut to most characters, and an error where the file is empty, too large, binary, not UTF-8 or blank."""
+    """path, text cut to most characters, and an error where the file is too large, binary, not UTF-8 or blank. Spark lists no empty files."""
     rows = spark.read.format("binaryFile").load(path)
     body = F.try_validate_utf8(F.col("content").cast("string"))
     binary = F.locate("00", F.regexp_replace(F.hex(F.substring("content", 1, 1024)), "(..)", "$1 ")) > 0
-    error = F.when(F.col("length") == 0, "empty").when(F.col("length") > 2 * most, "too large").when(binary, "binary").when(body.isNull(), "not UTF-8").when(F.trim(body) == "", "blank")
+    error = F.when(F.col("length") > 2 * most, "too large").when(binary, "binary").when(body.isNull(), "not UTF-8").when(F.trim(body) == "", "blank")
     return rows.select("path", error.alias("error"), F.when(error.isNull(), F.substring(body, 1, most)).alias("text"))
 
 

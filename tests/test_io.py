@@ -12,10 +12,10 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_text_files(spark, tmp_path):
-    for name, data in {"ok": b"text", "empty": b"", "zero": b"a\0b", "bad": b"\xff\xfe", "blank": b" \n "}.items():
+    for name, data in {"ok": b"text", "zero": b"a\0b", "bad": b"\xff\xfe", "blank": b" \n "}.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.error for r in io.text_files(spark, str(tmp_path)).collect()}
-    assert got["ok"] is None and got["empty"] == "empty" and got["zero"] == "binary" and got["bad"] == "not UTF-8"
+    assert got["ok"] is None and got["zero"] == "binary" and got["bad"] == "not UTF-8"
 
 
 def test_stream_appends_unseen_keys_once(spark, tmp_path):
