@@ -39,6 +39,37 @@ def per_group_cap(rows: DataFrame, group: str, cap: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= cap).drop("_r")
 
 
+def quota_picks(rows: DataFrame, label: str, group: str, key: str, size: int, cap: int = 15) -> DataFrame:
+    """`size` rows of each label, dealt over its groups: an equal quota each (1 at least, `cap` at most), and what is still missing
+    from the groups with most rows left. Quotas come from one row per label and group; rows without either are not drawn."""
+    known = rows.where(F.col(label).isNotNull() & F.col(group).isNotNull())
+    of, before = Window.partitionBy(label), Window.partitionBy(label).orderBy(F.desc("_left"), group).rowsBetween(Window.unboundedPreceding, -1)
+    quotas = known.groupBy(label, group).agg(F.count("*").alias("_n"))
+    quotas = quotas.withColumn("_q", F.greatest(F.lit(1), F.least(F.floor(F.lit(size) / F.count("*").over(of)), F.col("_n"), F.lit(cap)))).withColumn("_left", F.col("_n") - F.col("_q"))
+    missing = F.greatest(F.lit(size) - F.sum("_q").over(of), F.lit(0)) - F.coalesce(F.sum("_left").over(before), F.lit(0))
+    quotas = quotas.select(label, group, (F.col("_q") + F.greatest(F.lit(0), F.least("_left", missing))).alias("_take"))
+    ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy(label, group).orderBy(draw(key), key))).where(F.col("_r") <= size)
+    picked = ranked.join(quotas, [label, group]).where("_r <= _take")
+    return per_group_cap(picked, label, size, draw(key), key).select(*rows.columns)
+
+
+def preferred_picks(rows: DataFrame, label: str, group: str, key: str, prefer: F.Column, size: int) -> DataFrame:
+    """`size` rows of each label: an equal quota of each group, up to two thirds of it preferred rows, topped up from all other rows.
+
+    Keys must be unique. The top-up needs no more than the label's first 2 * size rows in drawn order, so no window holds a whole label."""
+    known = rows.where(F.col(label).isNotNull() & F.col(group).isNotNull()).withColumn("_p", F.coalesce(prefer, F.lit(False)))
+    of = Window.partitionBy(label)
+    quotas = known.groupBy(label, group).agg(F.count("*").alias("_n"), F.count_if("_p").alias("_w"))
+    quotas = quotas.withColumns({"_groups": F.count("*").over(of), "_at": F.row_number().over(of.orderBy(group))}).where(F.col("_at") <= size)
+    quotas = quotas.withColumn("_take", F.least(F.greatest(F.lit(1), F.floor(F.lit(size) / F.col("_groups"))), F.col("_n")))
+    quotas = quotas.withColumn("_with", F.least(F.col("_w"), F.greatest(F.lit(1), F.floor(F.col("_take") * 2 / 3)))).select(label, group, "_take", "_with")
+    ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy(label, group, "_p").orderBy(draw(key), key))).where(F.col("_r") <= size)
+    first = ranked.join(quotas, [label, group]).where(F.col("_r") <= F.when(F.col("_p"), F.col("_with")).otherwise(F.col("_take") - F.col("_with"))).select(*rows.columns)
+    others = per_group_cap(known, label, 2 * size, draw(key), key).select(*rows.columns).join(first.select(key), key, "left_anti")
+    both = first.withColumn("_tier", F.lit(0)).unionByName(others.withColumn("_tier", F.lit(1)))
+    return per_group_cap(both, label, size, "_tier", draw(key), key).select(*rows.columns)
+
+
 def draw(key: str, seed: int = 42) -> F.Column:
     """A row's place in a seeded shuffle that every engine computes alike."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))

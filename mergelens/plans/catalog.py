@@ -457,6 +457,39 @@ def hard_fp_sample(spark, d):
     return guessed(spark, d).where("quality = 0").orderBy(F.desc("guess"), stats.draw("doc_id"), "doc_id").limit(40).select("doc_id")
 
 
+_BALANCED = f"""WITH c AS (SELECT quality, source, count(*) AS n, greatest(1, least(25 // count(*) OVER (PARTITION BY quality), count(*), 15)) AS q FROM ({LABELLED}) GROUP BY quality, source),
+k AS (SELECT quality, source, q + greatest(0, least(n - q, greatest(25 - sum(q) OVER (PARTITION BY quality), 0) - coalesce(sum(n - q) OVER (PARTITION BY quality ORDER BY n - q DESC, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM c),
+r AS (SELECT doc_id, source, quality, text, row_number() OVER (PARTITION BY quality, source ORDER BY {_DRAW}, doc_id) AS r FROM ({LABELLED}))
+SELECT doc_id, source, quality, text FROM r JOIN k USING (quality, source) WHERE r <= take QUALIFY row_number() OVER (PARTITION BY quality ORDER BY {_DRAW}, doc_id) <= 25"""
+
+
+def balanced(spark, d):
+    return stats.quota_picks(labelled(spark, d).select("doc_id", "source", "quality", "text"), "quality", "source", "doc_id", 25)
+
+
+@query(f"SELECT doc_id, source, quality FROM ({_BALANCED})")
+def quota_balanced(spark, d):
+    return balanced(spark, d).select("doc_id", "source", "quality")
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) FILTER (quality = 1) AS merged, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (doc_id IN (SELECT doc_id FROM ({LABELLED}) QUALIFY row_number() OVER (PARTITION BY quality ORDER BY {_DRAW}, doc_id) <= 2)) AS overlap FROM ({_BALANCED})")
+def balanced_check(spark, d):
+    shots = few_shot_pick(spark, d).select("doc_id", F.lit(True).alias("shot"))
+    found = balanced(spark, d).join(shots, "doc_id", "left")
+    return found.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("quality") == 1).alias("merged"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty"), F.count_if("shot").alias("overlap"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, source, quality, length(text) > 1000 AS p FROM ({LABELLED})),
+g AS (SELECT quality, source, count(*) AS n, count(*) FILTER (p) AS w, count(*) OVER (PARTITION BY quality) AS groups, row_number() OVER (PARTITION BY quality ORDER BY source) AS place FROM l GROUP BY quality, source),
+k AS (SELECT quality, source, least(greatest(1, 60 // groups), n) AS take, w FROM g WHERE place <= 60),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality, source, p ORDER BY {_DRAW}, doc_id) AS r FROM l),
+t AS (SELECT r.doc_id, r.source, r.quality, CASE WHEN r.r <= CASE WHEN r.p THEN least(k.w, greatest(1, k.take * 2 // 3)) ELSE k.take - least(k.w, greatest(1, k.take * 2 // 3)) END THEN 0 ELSE 1 END AS tier FROM r LEFT JOIN k ON r.quality = k.quality AND r.source = k.source)
+SELECT doc_id, source, quality FROM t QUALIFY row_number() OVER (PARTITION BY quality ORDER BY tier, {_DRAW}, doc_id) <= 60""")
+def preferred_balanced(spark, d):
+    rows = labelled(spark, d).select("doc_id", "source", "quality", (F.length("text") > 1000).alias("long"))
+    return stats.preferred_picks(rows, "quality", "source", "doc_id", F.col("long"), 60).select("doc_id", "source", "quality")
+
+
 # --- joins and sets ---
 @query("SELECT d.doc_id, coalesce(l.quality, 0) AS quality, CAST(l.doc_id IS NULL AS INTEGER) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def left_fill_join(spark, d):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelens.functions import diffs, paths, text
-from mergelens.operators import metrics, responses, similarity, structure
+from mergelens.operators import metrics, responses, similarity, stats, structure
 from mergelens.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -62,6 +62,15 @@ def test_metrics(spark):
     assert (r.accuracy, r.precision, r.recall, r.f1, r.specificity, r.balanced_accuracy, r.fpr) == (0.6, 0.5581, 0.96, 0.7059, 0.24, 0.6, 0.76)
 
 
+def test_quota_picks(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 20 else "b" if i < 23 else None, i % 2) for i in range(26)], "k long, g string, y int")
+    got = stats.quota_picks(rows, "y", "g", "k", 6).collect()
+    assert sorted((r.y, r.g) for r in got) == [(0, "a")] * 4 + [(0, "b")] * 2 + [(1, "a")] * 5 + [(1, "b")]
+    few = stats.preferred_picks(rows, "y", "g", "k", F.col("k") >= 10, 6).collect()
+    assert len(few) == len({r.k for r in few}) == 12 and all(r.g for r in few)
+    assert not stats.quota_picks(rows.limit(0), "y", "g", "k", 6).collect()
+
+
 def test_responses(spark):
     for body in ('{"a": 1,}', '```json\n{"a": 1}\n```', 'x {"a": 1} y', '{"a": 1}'):
         assert one(spark, F.try_variant_get(responses.parse(F.lit(body)), "$.a", "int")) == 1
