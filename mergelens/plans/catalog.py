@@ -555,35 +555,35 @@ def first_decision(spark, d):
 
 
 # --- similarity ---
-def pairs(spark, d):
-    docs = t(spark, d, "documents").where("doc_id % 40 = 0").select("doc_id", text.lower_tokens(F.substring("text", 1, 300)).alias("a"), (F.col("doc_id") % 40).alias("k"))
-    bench = t(spark, d, "benchmark").where("item_id < 5").select("item_id", text.lower_tokens(F.substring("text", 1, 300)).alias("b"))
-    return docs.join(F.broadcast(bench))
+def against_benchmark(spark, d, measure, name):
+    """All documents with all items, over whole texts."""
+    docs = t(spark, d, "documents").select("doc_id", text.lower_tokens("text").alias("a"))
+    return similarity.against_all(docs, t(spark, d, "benchmark").select("item_id", text.lower_tokens("text").alias("b")), measure, name)
 
 
+# The twin pairs only every 40th document with five items, over 300 characters: less than the queries.
 _TOK = "list_filter(string_split_regex(lower(substr(text, 1, 300)), '\\s+'), lambda x: x <> '')"
 PAIRS = f"(SELECT doc_id, item_id, a, b FROM (SELECT doc_id, {_TOK} AS a FROM documents WHERE doc_id % 40 = 0), (SELECT item_id, {_TOK} AS b FROM benchmark WHERE item_id < 5))"
 
 
 @query(f"SELECT doc_id, item_id, round(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE 2 * len(list_intersect(x, y)) / CAST(len(x) + len(y) AS DOUBLE) END, 4) AS rouge1 FROM (SELECT doc_id, item_id, list_distinct(a) AS x, list_distinct(b) AS y FROM {PAIRS})")
 def rouge_sets(spark, d):
-    return pairs(spark, d).select("doc_id", "item_id", similarity.overlap_f1(F.col("a"), F.col("b"), 1).alias("rouge1"))
+    return against_benchmark(spark, d, similarity.References.overlap_f1, "rouge1")
 
 
 @query(f"SELECT doc_id, item_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE greatest(len(list_filter(a, lambda x: list_contains(b, x))) / CAST(len(a) AS DOUBLE), 1e-10) * (CASE WHEN len(a) >= len(b) THEN 1 ELSE exp(1 - len(b) / CAST(len(a) AS DOUBLE)) END) END, 4) AS bleu1 FROM {PAIRS}")
 def bleu1(spark, d):
-    return pairs(spark, d).select("doc_id", "item_id", similarity.bleu(F.col("a"), F.col("b"), 1).alias("bleu1"))
+    return against_benchmark(spark, d, lambda refs, flat, sizes: refs.bleu(flat, sizes, 1), "bleu1")
 
 
 @query()
 def bleu4(spark, d):
-    return pairs(spark, d).select("doc_id", "item_id", similarity.bleu(F.col("a"), F.col("b"), 4).alias("bleu4"))
+    return against_benchmark(spark, d, lambda refs, flat, sizes: refs.bleu(flat, sizes, 4), "bleu4")
 
 
 @query()
 def lcs_rouge_l(spark, d):
-    n = similarity.lcs_length(F.col("a"), F.col("b")).cast("double")
-    return pairs(spark, d).select("doc_id", "item_id", F.round(metrics.ratio(2 * n, F.size("a") + F.size("b")), 4).alias("rouge_l"))
+    return against_benchmark(spark, d, similarity.References.lcs_f1, "rouge_l")
 
 
 @query(f"WITH s AS (SELECT source, count(*) AS n, sum(quality) AS q FROM ({LABELLED}) GROUP BY 1) SELECT doc_id, source, n - 1 AS others, round((s.q - l.quality) / nullif(n - 1, 0)::DOUBLE, 6) AS others_mean FROM ({LABELLED}) l JOIN s USING (source)")
