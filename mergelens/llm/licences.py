@@ -1,7 +1,11 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a text that holds a licence word, and every run of such lines (a text's headers and notices), is compared
-with each template; of a licence file (by its name) the whole text is, too. Term weights are (1 + log count) times the
+Every line of a text that holds a licence word is compared with each template, as are the paragraph around it, however
+wrapped, every run of adjacent paragraphs with licence words (a text's headers and notices) and the text's first paragraph;
+of a licence file (by its name) the whole text is, too. Paragraphs end at lines without letters or digits, and where line
+comments begin or end. Lines next to each other in a paragraph are compared as a run only if the paragraph is like no
+template, as part of a header can be like another licence. An SPDX line is its licence by its identifier, the first that
+has templates. Term weights are (1 + log count) times the
 inverse document frequency, counted over all texts for the templates' words; other words weigh as much as the rarest
 one, so a line that only mentions a licence stays far from it. The best cosine of at least `least` is the file's own licence.
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +31,19 @@ from pyspark.sql import functions as F
 
 from .common import read, slices, table, widen
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 #: Short notices of common licences, in the words that their texts prescribe or that are usual for them.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version."],
-    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 2 of the License, or any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 3 of the License, or any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 3 of the License, or any later version."],
+    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, either version 3 of the License, or any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the copyright holder nor the names of its contributors may be used to endorse.", "Released under the BSD 3-Clause License."],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the copyright holder nor the names of its contributors may be used to endorse.", "Released under the BSD 3-Clause License.", _BSD + _BSD_NAMES],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD],
     "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
@@ -44,8 +51,11 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
 }
-TRIGGER = re.compile(r"(?i)licen[sc]|copyright|spdx|redistribut|public domain|hereby granted|cc0|\bcc by")
+TRIGGER = re.compile(r"(?i)licen[sc]|copyright|spdx|redistribut|public[\s/*#;%-]+domain|hereby[\s/*#;%-]+granted|cc0|\bcc[ ]by")
+SPDX = re.compile(r"(?i)spdx-license-identifier:([^\n]*)")
+LINE_COMMENT = re.compile(r"\s*(//|#|;|--|%)")
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
+WORD = re.compile(r"[A-Za-z0-9]")
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)([.-][^/]*)?$"
 
 
@@ -53,14 +63,25 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def notice_lines(text: str):
-    """The lines with a licence word: start, end, line."""
-    at = 0
-    while m := TRIGGER.search(text, at):
-        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        yield start, end, text[start:end]
+def paragraphs(text: str):
+    """Lists of lines: each with whether a licence word begins in it."""
+    hits = [m.start() for m in TRIGGER.finditer(text)]
+    part, mark, at, k = [], None, 0, 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        hit = k < len(hits) and hits[k] <= end
+        while k < len(hits) and hits[k] <= end:
+            k += 1
         at = end + 1
+        blank, comment = not WORD.search(line), bool(LINE_COMMENT.match(line))
+        if part and (blank or comment != mark):
+            yield part
+            part = []
+        if not blank:
+            part.append((line, hit))
+            mark = comment
+    if part:
+        yield part
 
 
 class Scanner:
@@ -71,6 +92,7 @@ class Scanner:
             for text in texts:
                 self.names.append(name)
                 self.vectors.append(self.vector(text))
+        self.by_identifier = {name.lower(): name for name in templates}
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         for i, v in enumerate(self.vectors):
             for term, w in v.items():
@@ -89,18 +111,36 @@ class Scanner:
         top = max(scores, default=0.0)
         return (top, self.names[scores.index(top)]) if top > 0 else (0.0, None)
 
+    def paragraph(self, part: list[tuple[str, bool]], least: float) -> list[tuple[float, str | None]]:
+        """The scores of its lines with licence words, and of the whole or else of runs of such lines."""
+        found = [self.best(line) for line, hit in part if hit]
+        if len(part) == 1:
+            return found
+        found.append(self.best("\n".join(line for line, _ in part)))
+        if found[-1][0] < least:
+            for hit, run in groupby(part, lambda x: x[1]):
+                if hit and len(lines := [line for line, _ in run]) > 1:
+                    found.append(self.best("\n".join(lines)))
+        return found
+
     def scan(self, text: str | None, whole: bool, least: float) -> tuple[str | None, float | None]:
-        found, run, end = [(0.0, None)], [], None
+        found = [(0.0, None)]
         if text:
-            for start, stop, line in notice_lines(text):
-                found.append(self.best(line))
-                if end is not None and start == end + 1:
-                    run.append(line)
-                else:
-                    if len(run) > 1:
-                        found.append(self.best("\n".join(run)))
-                    run = [line]
-                end = stop
+            for m in SPDX.finditer(text):
+                for word in re.findall(r"[a-z0-9.+-]+", m[1].lower()):
+                    if name := self.by_identifier.get(re.sub(r"(-only|-or-later|\+)$", "", word)):
+                        return name, 1.0
+            run: list[str] = []
+            for i, part in enumerate(paragraphs(text)):
+                if any(hit for _, hit in part):
+                    found += self.paragraph(part, least)
+                    run.append("\n".join(line for line, _ in part))
+                    continue
+                if not i:
+                    found.append(self.best("\n".join(line for line, _ in part)))
+                if len(run) > 1:
+                    found.append(self.best("\n".join(run)))
+                run = []
             if len(run) > 1:
                 found.append(self.best("\n".join(run)))
             if whole:
