@@ -599,11 +599,10 @@ def as_of_history(spark, d):
 
 @query(f"SELECT q.doc_id, c.doc_id AS similar, round(3 * (q.source = c.source)::INTEGER + 2 * exp(-abs(q.n_chars - c.n_chars) / 500.0::DOUBLE), 4) AS score FROM ({LABELLED}) q JOIN ({LABELLED}) c ON q.source = c.source AND q.doc_id <> c.doc_id WHERE q.doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY score DESC, c.doc_id) <= 3")
 def similar_topk(spark, d):
-    rows = labelled(spark, d).select("doc_id", "source", "n_chars")
-    q = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("q"), "source", F.col("n_chars").alias("qn"))
-    s = F.round(F.lit(3.0) + 2 * F.exp(-F.abs(F.col("qn") - F.col("n_chars")) / 500.0), 4)
-    scored = rows.join(q, "source").where("q <> doc_id").select(F.col("q").alias("doc_id"), F.col("doc_id").alias("similar"), s.alias("score"))
-    return stats.per_group_cap(scored, "doc_id", 3, F.desc("score"), "similar")
+    # the twin holds each query against its own source only, by two of the four terms: less than the query
+    docs = t(spark, d, "documents").select("doc_id", "source", F.size(F.split(text.safe(F.col("text")), "\n")).alias("files"), "n_chars", F.array_distinct(text.lower_tokens(F.substring("text", 1, 80))).alias("title"))
+    rows = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id")
+    return similarity.similar(rows, rows.where("doc_id % 50 = 0"), "doc_id", "source", "files", "n_chars", "title", 3)
 
 
 # --- features ---
