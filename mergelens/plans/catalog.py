@@ -660,7 +660,7 @@ def context_text(spark, d):
 # --- responses and history ---
 def answers(spark, d):
     k, v = F.col("event_id") % 4, F.col("user_id").cast("string")
-    body = F.when(k == 0, F.concat(F.lit('{"a": '), v, F.lit("}"))).when(k == 1, F.concat(F.lit('```json\n{"a": '), v, F.lit("}\n```"))).when(k == 2, F.concat(F.lit('so: {"a": '), v, F.lit(",} end"))).otherwise("none")
+    body = F.when(F.col("event_id") % 8 == 4, F.concat(F.lit('so: {"a": '), v, F.lit(', "notes": ["cut o'))).when(k == 0, F.concat(F.lit('{"a": '), v, F.lit("}"))).when(k == 1, F.concat(F.lit('```json\n{"a": '), v, F.lit("}\n```"))).when(k == 2, F.concat(F.lit('so: {"a": '), v, F.lit(",} end"))).otherwise("none")
     return t(spark, d, "events").select("event_id", "user_id", body.alias("body"))
 
 
