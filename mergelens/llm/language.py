@@ -19,13 +19,14 @@ label, no language is known and rows with letters are accepted. Equal rows get e
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergelens.operators.stats import per_group_cap
+
 from .common import flat_bytes, read, slices, table, widen
 
 BITS = 13
@@ -70,14 +71,17 @@ class TextModel:
         return out
 
 
-def fit(docs: DataFrame, sample: int = 300, weight: float = 60.0, text: str = "text", label: str = "lang", key: str = "doc_id") -> TextModel:
-    counts = docs.where(F.col(label).isNotNull() & (F.trim(label) != "")).groupBy(F.lower(F.trim(label)).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(64).collect()
-    languages = sorted(r["l"] for r in counts)
+def fit(docs: DataFrame, sample: int = 300, weight: float = 60.0, text: str = "text", label: str = "lang", key: str = "doc_id", chars: int | None = None) -> TextModel:
+    """N-grams of about `sample` rows of each label, four times as many at most; whole texts, or their first `chars` characters."""
+    labelled = docs.withColumn("l", F.lower(F.trim(label))).where("l <> ''")
+    counts = table(labelled.groupBy("l").agg(F.count("*").alias("n")), "labels")
+    languages = sorted(r["l"] for r in counts.collect())
     if not languages:
         return TextModel([], np.zeros((256 + (2 << BITS) + 1, 0), np.float32), weight)
-    lang, draw = F.lower(F.trim(label)), F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 30))
-    chosen = reduce(lambda a, b: a | b, ((lang == r["l"]) & (draw <= int(min(1.0, sample / r["n"]) * (1 << 30))) for r in counts))
-    rows = docs.where(chosen & F.col(text).isNotNull()).select(lang.alias("l"), F.substring(text, 1, 2048).alias("t")).limit(4 * sample * len(languages)).collect()
+    body = F.col(text) if chars is None else F.substring(text, 1, chars)
+    draw = F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 30))
+    rows = labelled.where(F.col(text).isNotNull()).select("l", draw.alias("draw"), body.alias("t")).join(F.broadcast(counts), "l")
+    rows = per_group_cap(rows.where(F.col("draw") <= F.least(F.lit(1.0), sample / F.col("n")) * (1 << 30)), "l", 4 * sample, "draw", "t").select("l", "t").collect()
     size = 256 + (2 << BITS) + 1
     seen = np.zeros((size, len(languages)))
     for k, language in enumerate(languages):
@@ -169,16 +173,16 @@ def declared_of(html):
     return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)), F.lit(""))
 
 
-def identify_pages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:
+def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = 300, chars: int | None = None, **options) -> DataFrame:
     """page_id, host, suffix, declared, text_language, language, posterior, accepted of each page; docs (doc_id, text, lang) teach the text model."""
-    model = fit(docs)
+    model = fit(docs, sample, chars=chars)
     rows = pages.select("page_id", host_of("url").alias("host"), declared_of("html").alias("declared"), F.col("html").cast("string").alias("html")).withColumn("suffix", suffix_of(F.col("host")))
     return fuse(table(score_text(rows, model, "html", True), "page-scores"), model, **options)
 
 
-def identify_documents(docs: DataFrame, **options) -> DataFrame:
+def identify_documents(docs: DataFrame, sample: int = 300, chars: int | None = None, **options) -> DataFrame:
     """doc_id and findings of each document: its lang is the declared language, its source the host."""
-    model = fit(docs)
+    model = fit(docs, sample, chars=chars)
     rows = docs.select("doc_id", F.col("source").alias("host"), F.lower(F.trim("lang")).alias("declared"), F.lit("").alias("suffix"), F.col("text").cast("string").alias("text"))
     return fuse(table(score_text(rows, model, "text", False), "document-scores"), model, **options)
 
