@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; only where none is set, as in tests, a local one."""
+    """The folder that the driver and all executors see; where none is set, as in tests, a local one, but never on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="mergelens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -78,16 +80,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """What a pure function gave for short keys; emptied when full, so memory is bounded."""
+    """What a pure function gave for short keys. Of two halves the older is dropped when the younger is full, so memory is
+    bounded and what is asked for often stays."""
 
     def __init__(self, fn: Callable, cap: int = 400_000, longest: int = 48):
         super().__init__()
-        self.fn, self.cap, self.longest = fn, cap, longest
+        self.fn, self.half, self.longest, self.older = fn, cap // 2, longest, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= self.longest:
-            if len(self) >= self.cap:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -97,14 +103,31 @@ _KEPT: dict = {}
 
 
 def kept(key, make: Callable):
-    """One object for each key in a Python worker, so tasks that share the worker share it."""
+    """One object for each key in a Python worker, so tasks that share the worker share it; only the last few are held."""
     if key not in _KEPT:
-        if len(_KEPT) > 16:
-            _KEPT.clear()
+        while len(_KEPT) >= 2:
+            del _KEPT[next(iter(_KEPT))]
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def tidy(batches):
+    """The batches; before the first and after the last, a reused worker hands free memory back to the system."""
+    release()
+    yield from batches
+    release()
+
+
+def release() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -1,24 +1,29 @@
 """Removal of repeated passages by longest-previous-factor arrays over suffix order, distributed.
 
 A byte goes if a `length`-byte string that covers it also starts in a document with a smaller doc_id. All windows of that length with
-the same smallest hash among their 16-grams belong together, and equal windows have equal smallest hashes; runs of neighbouring windows
-with one such hash make a segment, so segments cover every window once and are some 67 bytes long.
+the same smallest hash among their 24-grams belong together, and equal windows have equal smallest hashes; runs of neighbouring windows
+with one such hash make a segment, so segments cover every window once and are some 63 bytes long.
 
-1. Each task sends for every segment its smallest hash's bucket, that hash, a 64-bit hash of the whole segment, and the document; of equal
+1. Each task sends for every segment its smallest hash's bucket, that hash, a 64-bit hash of all its windows, and the document; of equal
    segments within a block of documents only the first, since the others are then known to be later copies. So a passage
    that a third of all documents share reaches its bucket once per block.
 2. A bucket tells for equal segments which documents are later. Where segments that differ share a smallest hash, the first
    document of each is to send its bytes, for some windows in them may still be equal.
 3. Documents meet their findings by shards of doc_id. Those with nothing open are finished.
-4. The open segments' bytes, in document order, make one text for each bucket. Its suffixes are ranked by their first `length` bytes
-   (prefix doubling from 8-byte words, ties in text order). The previous smaller position in suffix order of any suffix but
-   its rank's first is its neighbour, at a common prefix of at least `length`; followed to the rank's first it is the earliest
-   document. A window repeats if that one is of a smaller document.
-5. The open documents get the rest of their ranges and are finished.
+4. The open segments' bytes come sorted by smallest hash and are taken in chunks of some `CHUNK` bytes that end where the hash changes; each
+   is one text, in document order. Its suffixes are sorted by their first `length` bytes (prefix doubling from 8-byte
+   words, ties in text order), and its longest previous factors, capped at `length`, come from previous smaller documents in that order
+   (see previous_factors). A window repeats if its factor is as long as it.
+5. A smallest hash whose open segments exceed `WIDE` bytes (a passage that goes on in very many ways) is not gathered: its windows are
+   hashed one by one to 128 bits and meet the smallest document of equal ones by a combined aggregation and a join.
+6. The open documents get the rest of their ranges and are finished.
+
+Buckets and shards are `FINE` times as many as shuffle partitions and are worked on one at a time, so memory is a fraction of a partition.
 
 Two segments are held equal if they share their bucket, 32 bits of the smallest hash and the 64-bit hash; what is not equal by these is
-compared byte by byte. Null and empty texts, and texts shorter than `length`, keep all. Rows without a doc_id neither lose bytes nor
-make others lose any. Rows that repeat a doc_id are one document: none removes from the other.
+compared byte by byte (in step 5 by 128 bits). Null and empty texts, and texts shorter than `length`, keep all. Rows without a doc_id
+neither lose bytes nor make others lose any. Rows that repeat a doc_id are one document: none removes from the other. Extra columns are
+left out, but for those named in `keep`.
 """
 
 from __future__ import annotations
@@ -30,26 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch_of, flat_bytes, mix, partitions, read, slices, table
+from .common import U64, batch_of, flat_bytes, mix, partitions, read, slices, table, tidy
 
-GRAM = 16
-HOLD = 1_000_000
-BASE = 0x5851F42D4C957F2D
-BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+GRAM = 24
+HOLD = 500_000
+FINE = 4
+CHUNK, WIDE = 1 << 20, 2 << 20
 WORDS_PER_SLICE = 2 << 20
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    from .common import kept
-
-    size = 1 << max(16, int(n).bit_length())
-
-    def make(base):
-        x = np.full(size, base, U64)
-        x[0] = 1
-        return np.cumprod(x, dtype=U64)
-
-    return kept(("powers", size), lambda: (make(BASE), make(pow(BASE, -1, 1 << 64))))
+ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def words(flat: np.ndarray, big: bool = False) -> np.ndarray:
@@ -73,23 +66,26 @@ def segments(flat: np.ndarray, starts: np.ndarray, length: int):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(U64), none.astype(U64)
     w = words(flat)
-    h = w[: n - 8] * U64(0x9E3779B97F4A7C15)
+    h = w[: n - 16] * ODD[0]
     h ^= h >> U64(29)
-    h += w[8:] * U64(0xC2B2AE3D27D4EB4F)
+    h += w[8 : n - 8] * ODD[1]
     h ^= h >> U64(32)
     h *= U64(0xBF58476D1CE4E5B9)
+    h += w[16:] * ODD[2]
+    del w
     h ^= h >> U64(29)
-    span, low = length - GRAM + 1, h
-    have = 1
+    h *= U64(0x94D049BB133111EB)
+    h ^= h >> U64(32)
+    span, low, have = length - GRAM + 1, h, 1
     while have * 2 <= span:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < span:
         low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
     change = np.zeros(n + 1, np.int32)
-    np.add.at(change, starts[full], 1)
-    np.add.at(change, starts[full] + size[full] - length + 1, -1)
-    valid = np.cumsum(change[:n]) > 0
+    change[starts[full]] += 1
+    change[starts[full] + size[full] - length + 1] -= 1
+    valid = np.cumsum(change[:n], dtype=np.int8) > 0
     new = valid.copy()
     m = min(len(low), n)
     new[1:m] &= low[1:m] != low[: m - 1]
@@ -97,13 +93,17 @@ def segments(flat: np.ndarray, starts: np.ndarray, length: int):
     first = np.flatnonzero(new)
     owner = np.searchsorted(starts, first, side="right") - 1
     last = starts[owner] + size[owner] - length  # the document's last window
-    after = np.append(first[1:], n)
-    count = np.minimum(after, last + 1) - first
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE[flat] * power[:n], out=total[1:])
-    end = first + count - 1 + length
-    whole = mix((total[end] - total[first]) * inverse[first] + (end - first).astype(U64) * U64(0xD6E8FEB86659FD93))
+    count = np.minimum(np.append(first[1:], n), last + 1) - first
+    # a window's hash mixes grams that cover it, a segment's the hashes of its windows by their places
+    places = np.flatnonzero(valid)
+    window = np.zeros(len(places), U64)
+    for k, o in enumerate([*range(0, length - GRAM, GRAM), length - GRAM]):
+        window += h[places + o] * (ODD[3] + U64(2 * k))
+    power = np.full(int(count.max()), ODD[1], U64)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    at = np.cumsum(count) - count
+    whole = mix(np.add.reduceat(mix(window) * power[places - np.repeat(first, count)], at) + count.astype(U64) * ODD[3])
     return owner, first, count, mix(low[first]), whole
 
 
@@ -157,7 +157,7 @@ def send(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             held.clear()
             return batch_of(SENT, *map(list, zip(*rows, strict=True)))
 
-        for batch in slices(batches, 1, WORDS_PER_SLICE):
+        for batch in slices(tidy(batches), 1, WORDS_PER_SLICE):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat, starts = flat_bytes([(t or "").encode() for t in batch.column(1).to_pylist()])
             owner, _, _, low, whole = segments(flat, starts, length)
@@ -218,7 +218,7 @@ def judge(sent: DataFrame, buckets: int, shards: int) -> DataFrame:
 
     def run(batches):
         at, rows = None, []
-        for batch in batches:
+        for batch in tidy(batches):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[0] != at and rows:
                     if (found := out(rows)) is not None:
@@ -229,7 +229,7 @@ def judge(sent: DataFrame, buckets: int, shards: int) -> DataFrame:
         if rows and (found := out(rows)) is not None:
             yield found
 
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard int, first int, docs binary, counts binary, whole binary, open binary")
+    return sent.repartition(buckets // FINE, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard int, first int, docs binary, counts binary, whole binary, open binary")
 
 
 def finish(data: bytes, ranges: list[tuple[int, int]] | np.ndarray):
@@ -246,8 +246,8 @@ def finish(data: bytes, ranges: list[tuple[int, int]] | np.ndarray):
     return len(data), int(gone.sum()), spans, kept
 
 
-DONE = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text string, ranges binary, place long, bucket int, extra string"
-DONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("ranges", pa.binary()), ("place", pa.int64()), ("bucket", pa.int32()), ("extra", pa.string())])
+DONE = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text string, ranges binary, place long, low long, extra string"
+DONE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("ranges", pa.binary()), ("place", pa.int64()), ("low", pa.int64()), ("extra", pa.string())])
 FINISHED, OPEN, SEGMENT = 0, 1, 2
 
 
@@ -256,12 +256,12 @@ def finished(doc, data: bytes, ranges, keep_text: bool, extra: str | None = None
     return FINISHED, doc, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, None, None, None, None, extra
 
 
-def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep_text: bool) -> DataFrame:
+def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -> DataFrame:
     """rows: shard, first, docs, counts, whole, open (0 first) or shard, 1, doc_id, text. Finished documents, open documents, open segments' bytes."""
 
     def run(batches):
         at, parts, keys, opens, flagged = None, [], None, None, None
-        for batch in slices(batches, 7, WORDS_PER_SLICE):
+        for batch in slices(tidy(batches), 7, WORDS_PER_SLICE):
             made = []
             cols = [c.to_pylist() for c in batch.columns]
             texts = []
@@ -303,6 +303,7 @@ def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep
         where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         found = keys[where] == key
         is_open = found & opens[where]
+        low = low.view(np.int64)
         gone = found & ~is_open
         begin = first - starts[owner]
         end = begin + count - 1 + length
@@ -316,10 +317,10 @@ def apply_findings(rows: DataFrame, length: int, buckets: int, shards: int, keep
                 continue
             made.append((OPEN, doc, None, None, None, None, None, text, ranges.astype("<i8").tobytes(), None, None, extra))
             for j in o.tolist():
-                made.append((SEGMENT, doc, None, None, None, None, None, None, data[begin[j] : end[j]], int(begin[j]), int(low[j] % U64(buckets)), None))
+                made.append((SEGMENT, doc, None, None, None, None, None, None, data[begin[j] : end[j]], int(begin[j]), int(low[j]), None))
         return made
 
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
+    return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
 
 
 def suffix_ranks(flat: np.ndarray, length: int) -> np.ndarray:
@@ -335,52 +336,96 @@ def suffix_ranks(flat: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def previous_factors(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, given in document order, its windows whose string starts in an earlier document too."""
+def previous_smaller(document: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Of each place the nearest before it with a smaller document, -1 for none; places are linked to the one before, and documents
+    never fall along links, so skipping equal ones by doubled steps finds it."""
+    before = np.where(linked, np.arange(-1, len(document) - 1), -1)
+    while True:
+        at = np.flatnonzero(before >= 0)
+        at = at[document[before[at]] == document[at]]
+        if not len(at):
+            return before
+        before[at] = before[before[at]]
+
+
+def previous_factors(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in document order, one after another: where each begins; of each place the longest factor, capped at `length`, that also
+    starts in an earlier document (0 if shorter than the cap) and where.
+
+    In suffix order such a factor starts at the previous or the next place of a smaller document, whichever shares more. As ties stand
+    in text order, the next one never shares `length` bytes, and along the way to the previous one documents never fall.
+    """
     flat, starts = flat_bytes(texts)
     rank = suffix_ranks(flat, length)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    fits = np.arange(len(flat)) + length <= starts[owner + 1]
-    at = np.flatnonzero(fits)
+    at = np.flatnonzero(np.arange(len(flat)) + length <= starts[owner + 1])
     order = at[np.argsort(rank[at], kind="stable")]  # suffix order, ties in text order
-    new = np.append(True, rank[order][1:] != rank[order][:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    repeated = docs[owner[order]] > docs[owner[order[first]]]
-    hits = np.sort(order[repeated])
-    cuts = np.searchsorted(hits, starts)
-    return [hits[a:b] - s for a, b, s in zip(cuts[:-1], cuts[1:], starts[:-1], strict=True)]
+    alike = np.append(False, rank[order][1:] == rank[order][:-1])[: len(order)]
+    before = previous_smaller(docs[owner[order]], alike)
+    factor, source = np.zeros(len(flat), np.int32), np.full(len(flat), -1)
+    hit = before >= 0
+    factor[order[hit]], source[order[hit]] = length, order[before[hit]]
+    return starts, factor, source
 
 
 def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) -> DataFrame:
-    """shard, first, doc_id, ranges: the repeated ranges of open segments."""
+    """shard, first, doc_id, ranges: the repeated ranges of open segments (low, doc_id, place, ranges: their bytes)."""
     out = pa.schema([("shard", pa.int32()), ("first", pa.int32()), ("doc_id", pa.int64()), ("ranges", pa.binary())])
+    result = "shard int, first int, doc_id long, ranges binary"
 
     def find(rows):
         rows.sort(key=lambda r: (r[1], r[2]))
-        docs = np.array([r[1] for r in rows], np.int64)
+        starts, factor, _ = previous_factors([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), length)
+        hits = np.flatnonzero(factor >= length)
+        cuts = np.searchsorted(hits, starts)
         made = []
-        for (_, doc, place, _), hits in zip(rows, previous_factors([r[3] for r in rows], docs, length), strict=True):
-            if len(hits):
-                cut = np.flatnonzero(np.append(True, np.diff(hits) > length))
-                ends = np.append(hits[cut[1:] - 1], hits[-1]) + length
-                made.append((doc % shards, 0, doc, (np.c_[hits[cut], ends] + place).astype("<i8").tobytes()))
+        for (_, doc, place, _), a, b, start in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), starts.tolist(), strict=False):
+            if a < b:
+                mine = hits[a:b] - start
+                cut = np.flatnonzero(np.append(True, np.diff(mine) > length))
+                ends = np.append(mine[cut[1:] - 1], mine[-1]) + length
+                made.append((doc % shards, 0, doc, (np.c_[mine[cut], ends] + place).astype("<i8").tobytes()))
         return batch_of(out, *map(list, zip(*made, strict=True))) if made else None
 
     def run(batches):
-        at, rows = None, []
-        for batch in batches:
+        at, rows, size = None, [], 0
+        for batch in slices(tidy(batches), 3, CHUNK):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != at and rows:
+                if r[0] != at and size >= CHUNK:
                     if (found := find(rows)) is not None:
                         yield found
-                    rows = []
+                    rows, size = [], 0
                 at = r[0]
                 rows.append(r)
+                size += len(r[3])
         if rows and (found := find(rows)) is not None:
             yield found
 
-    rows = open_segments.select("bucket", "doc_id", "place", "ranges")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard int, first int, doc_id long, ranges binary")
+    def each_window(batches):
+        import xxhash
+
+        kind = pa.schema([("h", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64())])
+        for batch in slices(tidy(batches), 3, CHUNK // 8):
+            made = [(xxhash.xxh3_128_digest(data[i : i + length]), doc, place + i) for _, doc, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i in range(len(data) - length + 1)]
+            yield batch_of(kind, *map(list, zip(*made, strict=True)))
+
+    rows = open_segments.select("low", "doc_id", "place", "ranges")
+    wide = table(rows.groupBy("low").agg(F.sum(F.length("ranges")).alias("n")).where(F.col("n") > WIDE).select("low"), "wide")
+    if wide.isEmpty():
+        return rows.repartition(buckets // FINE, "low").sortWithinPartitions("low").mapInArrow(run, result)
+    narrow = rows.join(wide, "low", "left_anti").select(rows.columns)
+    windows = table(rows.join(wide, "low", "left_semi").select(rows.columns).mapInArrow(each_window, "h binary, doc_id long, place long"), "windows")
+    first = windows.groupBy("h").agg(F.min("doc_id").alias("least"))
+    late = windows.join(first, "h").where("doc_id > least")
+
+    def as_ranges(batches):
+        for batch in batches:
+            doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            pairs = np.c_[place, place + length].astype("<i8")
+            yield batch_of(out, doc % shards, np.zeros(len(doc), np.int32), doc, [x.tobytes() for x in pairs])
+
+    found = late.select("doc_id", "place").mapInArrow(as_ranges, result)
+    return narrow.repartition(buckets // FINE, "low").sortWithinPartitions("low").mapInArrow(run, result).unionByName(found)
 
 
 def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
@@ -388,7 +433,7 @@ def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
 
     def run(batches):
         at, known = None, {}
-        for batch in slices(batches, 4, WORDS_PER_SLICE):
+        for batch in slices(tidy(batches), 4, WORDS_PER_SLICE):
             made = []
             for shard, first, doc, ranges, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != at:
@@ -401,14 +446,14 @@ def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
             if made:
                 yield batch_of(DONE_SCHEMA, *map(list, zip(*made, strict=True)))
 
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
+    return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
 
 
 def remove(docs: DataFrame, length: int = 50, keep: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with a tuple of columns to keep also these and `kept`, the text left (bytes of cut characters left out)."""
     spark = docs.sparkSession
     keep_text, columns = keep is not None, keep or ()
-    buckets = shards = partitions(spark)
+    buckets = shards = FINE * partitions(spark)
     extra = F.to_json(F.struct(*columns)) if columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra"))
     found = judge(send(rows, length, buckets), buckets, shards)
@@ -416,9 +461,9 @@ def remove(docs: DataFrame, length: int = 50, keep: tuple[str, ...] | None = Non
     text, more = nothing.cast("string").alias("text"), nothing.cast("string").alias("extra")
     left = found.select("*", nothing.cast("long").alias("doc_id"), text, more)
     right = rows.select(
-        F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)).cast("int").alias("shard"), F.lit(1).alias("first"), *[nothing.cast("binary").alias(c) for c in ("docs", "counts", "whole", "open")], "doc_id", "text", "extra",
+        F.coalesce(F.pmod("doc_id", F.lit(shards)), F.pmod(F.xxhash64("text"), F.lit(shards))).cast("int").alias("shard"), F.lit(1).alias("first"), *[nothing.cast("binary").alias(c) for c in ("docs", "counts", "whole", "open")], "doc_id", "text", "extra",
     )
-    done = table(apply_findings(left.unionByName(right), length, buckets, shards, keep_text), "repeats")
+    done = table(apply_findings(left.unionByName(right), length, shards, keep_text), "repeats")
     closed = done.where(F.col("kind") == FINISHED)
     ranges = resolve(done.where(F.col("kind") == SEGMENT), length, buckets, shards).select("*", text, more)
     opened = done.where(F.col("kind") == OPEN).select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("first"), "doc_id", "ranges", "text", "extra")
