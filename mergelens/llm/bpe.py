@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, kept, read, slices, widen
+from .common import Memo, batch_of, kept, mapped, read, slices, widen
 from .encoder import byte_letters, read_spec
 
 #: The fixed split pattern of byte-level vocabularies.
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") ->
             found = [machine.ids(t).astype("<u4").tobytes() for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 def decode(rows: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -221,7 +221,7 @@ def decode(rows: DataFrame, spec: str, ids: str = "ids", text: str = "decoded")
             found = [None if b is None else "".join(machine.decode(np.frombuffer(b, "<u4"))) for b in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(mapped, run, schema)
 
 
 def digests(docs: DataFrame, spec: str) -> DataFrame:
@@ -239,7 +239,7 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), back.hexdigest()))
             yield batch_of(out, batch.column(0), *map(list, zip(*rows, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

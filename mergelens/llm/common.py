@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,11 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later steps no longer depend on how it was made."""
+def table(df: DataFrame, name: str, large: bool = False, narrow: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later steps no longer depend on how it was made. After a large one the driver
+    collects its garbage, with which Spark deletes the shuffle files of what is done. Narrow rows, few bytes from many tasks,
+    are gathered into files of a fair size."""
     spark = df.sparkSession
+    if narrow:
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for pause in (0.3, 0.2) if large else ():  # the first collection leaves what the last events still held
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -111,11 +119,22 @@ def kept(key, make: Callable):
     return _KEPT[key]
 
 
-def tidy(batches):
-    """The batches; before the first and after the last, a reused worker hands free memory back to the system."""
-    release()
-    yield from batches
-    release()
+ROWS = 1024
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with batches of at most ROWS rows, so that neither side holds ten thousand long texts at once; a reused worker
+    hands free memory back to the system before and after."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+
+    def tidy(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def release() -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch_of, flat_bytes, mix, partitions, read, slices
+from .common import U64, batch_of, flat_bytes, mapped, mix, partitions, read, slices
 
 BINS = (64, 48, 16)
 REACH = 8
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             found = sketch([(t or "").encode() for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes().hex() for r in found])], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
@@ -206,7 +206,7 @@ def with_edits(docs: DataFrame, share: int = 4) -> DataFrame:
                 yield done(ids[:-1], texts[:-1], texts[-1])
                 ids, texts = ids[-1:], texts[-1:]
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.transform(mapped, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from mergelens.operators.stats import per_group_cap
 
-from .common import flat_bytes, read, slices, table, widen
+from .common import flat_bytes, mapped, read, slices, table, widen
 
 BITS = 13
 TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -115,7 +115,7 @@ def score_text(rows: DataFrame, model: TextModel, text: str, markup: bool) -> Da
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(letters)], names=[*names, "likelihoods", "letters"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(mapped, run, schema)
 
 
 def fuse(scored: DataFrame, model: TextModel, least: float = 0.5, by_suffix: float = 20.0, by_host: float = 10.0, by_declared: float = 1.0) -> DataFrame:
@@ -177,14 +177,14 @@ def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = 300, chars:
     """page_id, host, suffix, declared, text_language, language, posterior, accepted of each page; docs (doc_id, text, lang) teach the text model."""
     model = fit(docs, sample, chars=chars)
     rows = pages.select("page_id", host_of("url").alias("host"), declared_of("html").alias("declared"), F.col("html").cast("string").alias("html")).withColumn("suffix", suffix_of(F.col("host")))
-    return fuse(table(score_text(rows, model, "html", True), "page-scores"), model, **options)
+    return fuse(table(score_text(rows, model, "html", True), "page-scores", narrow=True), model, **options)
 
 
 def identify_documents(docs: DataFrame, sample: int = 300, chars: int | None = None, **options) -> DataFrame:
     """doc_id and findings of each document: its lang is the declared language, its source the host."""
     model = fit(docs, sample, chars=chars)
     rows = docs.select("doc_id", F.col("source").alias("host"), F.lower(F.trim("lang")).alias("declared"), F.lit("").alias("suffix"), F.col("text").cast("string").alias("text"))
-    return fuse(table(score_text(rows, model, "text", False), "document-scores"), model, **options)
+    return fuse(table(score_text(rows, model, "text", False), "document-scores", narrow=True), model, **options)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, table, widen
+from .common import mapped, read, slices, table, widen
 
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
@@ -163,7 +163,7 @@ def frequencies(texts: DataFrame, templates: dict[str, list[str]]) -> dict[str,
                     seen.update(known.intersection(TOKEN.findall(text.lower())))
         yield pa.RecordBatch.from_pydict({"term": ["", *words], "n": [n, *(seen[w] for w in words)]})
 
-    counts = dict(map(tuple, texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n")).collect()))
+    counts = dict(map(tuple, texts.transform(mapped, run, "term string, n long").groupBy("term").agg(F.sum("n")).collect()))
     total = counts.get("", 0) or 0
     return {w: math.log((total + 1) / ((counts.get(w) or 0) + 1)) + 1 for w in words}
 
@@ -184,7 +184,7 @@ def own_licences(files: DataFrame, templates=None, least: float = 0.6, path: str
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "own_licence", "own_score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(mapped, run, schema)
 
 
 def directory(path):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, batch_of, kept, mix, read, slices, table
+from .common import U64, Memo, batch_of, kept, mapped, mix, read, slices, table
 
 WIDTH, REGISTERS, ROWS = 5, 64, 4
 BANDS = REGISTERS // ROWS
@@ -121,7 +121,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             band = mix((mix(ident) * ODD[:ROWS]).sum(axis=2, dtype=U64) + number).view(np.int64)
             yield batch_of(out, batch.column(0), keys, [b.tolist() if k else [] for b, k in zip(band, keys, strict=True)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, key string, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.transform(mapped, run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -222,11 +222,11 @@ def in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
             if found:
                 yield batch_of(out, *map(list, zip(*found, strict=True)))
 
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+    return rows.transform(mapped, run, "a long, b long, similarity double")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, first_bands: int = 4) -> DataFrame:
-    signed = table(sketch(docs), "signed")
+    signed = table(sketch(docs), "signed", narrow=True)
     known = signed.where("key is not null and doc_id is not null")
     reps = known.groupBy("key").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands"))
     rows = reps.select("doc", F.posexplode("bands").alias("band", "bucket"))

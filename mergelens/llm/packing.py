@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, read, slices, table
+from .common import batch_of, mapped, read, slices, table
 from .encoder import encoder, read_spec
 
 PIECES = "doc_id long, n_tokens long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, spec: str, size: int, end: int) -> DataFrame:
                     made[len(part)] += 1
             yield batch_of(out, *map(list, zip(*rows, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, PIECES)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -100,7 +100,7 @@ def _put(room, open_rooms, r, first, n):
 
 def pack(docs: DataFrame, spec: str, size: int = 2048, end: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = table(pieces(docs, spec, size, end), "pieces")
+    cut = table(pieces(docs, spec, size, end), "pieces", narrow=True)
     by_task = table(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = plan(counts, size)
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, spec: str, size: int = 2048, end: int = 0) -> DataFram
                 at[mine] = lo + np.searchsorted(grid[lo:hi, 1], ranks[mine], side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(grid[at, 3] + ranks - grid[at, 1]), pa.array(grid[at, 4])], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.transform(mapped, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, read, slices, widen
+from .common import kept, mapped, read, slices, widen
 
 BLOCK = 4096
 LEVEL = 3
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, dictionary: int
         for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(figures(t, *pair)) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-    rest = rows.where(F.col("doc_id").isin(ids[1::2])).select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, f array<double>").orderBy("doc_id").collect()
+    rest = rows.where(F.col("doc_id").isin(ids[1::2])).select(F.col("doc_id").cast("long"), "text").transform(mapped, measure, "doc_id long, f array<double>").orderBy("doc_id").collect()
     y = np.array([chosen[r["doc_id"]] for r in rest], float)
     if len(set(y.tolist())) < 2:
         return Model((b"", b""), None, prior)
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

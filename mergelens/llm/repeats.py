@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch_of, flat_bytes, mix, partitions, read, slices, table, tidy
+from .common import U64, batch_of, flat_bytes, mapped, mix, partitions, read, slices, table
 
 GRAM = 24
 HOLD = 500_000
@@ -157,7 +157,7 @@ def send(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             held.clear()
             return batch_of(SENT, *map(list, zip(*rows, strict=True)))
 
-        for batch in slices(tidy(batches), 1, WORDS_PER_SLICE):
+        for batch in slices(batches, 1, WORDS_PER_SLICE):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat, starts = flat_bytes([(t or "").encode() for t in batch.column(1).to_pylist()])
             owner, _, _, low, whole = segments(flat, starts, length)
@@ -171,14 +171,14 @@ def send(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             yield flush()
 
     known = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
-    return known.mapInArrow(run, "bucket int, known boolean, docs binary, counts binary, low binary, whole binary")
+    return known.transform(mapped, run, "bucket int, known boolean, docs binary, counts binary, low binary, whole binary")
 
 
 def judge(sent: DataFrame, buckets: int, shards: int) -> DataFrame:
     """What each bucket finds, for the shards of the documents: later copies, and segments that are open."""
 
     def verdicts(rows):
-        known = [r for r in rows if r[1]]
+        known = [r for r in rows if r[1]]  # later copies already, for any bucket
         rest = [r for r in rows if not r[1]]
         for r in known:
             yield unpack_docs(r[2], r[3]), np.frombuffer(r[5], "<u8"), False
@@ -205,31 +205,38 @@ def judge(sent: DataFrame, buckets: int, shards: int) -> DataFrame:
         if still.any():
             yield doc[still], whole[still], True
 
-    def out(rows):
+    def out(held):
+        """Findings of several buckets, (docs, hashes, open or not), dealt to the shards."""
         made = []
-        for doc, whole, is_open in verdicts(rows):
+        for is_open in (False, True):
+            if not (mine := [h for h in held if h[2] == is_open]):
+                continue
+            doc, whole = (np.concatenate([h[i] for h in mine]) for i in (0, 1))
             shard = doc % shards
             order = np.lexsort((doc, shard))
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 part = order[cuts[s] : cuts[s + 1]]
                 made.append((s, 0, *pack_docs(doc[part]), whole[part].astype("<u8").tobytes(), b"\1" if is_open else b"\0"))
-        return batch_of(FOUND, *map(list, zip(*made, strict=True))) if made else None
+        return batch_of(FOUND, *map(list, zip(*made, strict=True)))
 
     def run(batches):
-        at, rows = None, []
-        for batch in tidy(batches):
+        at, rows, held = None, [], []
+        for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != at and rows:
-                    if (found := out(rows)) is not None:
-                        yield found
+                if r[0] != at:
+                    held += verdicts(rows)
                     rows = []
+                    if sum(len(h[0]) for h in held) >= HOLD:
+                        yield out(held)
+                        held = []
                 at = r[0]
                 rows.append(r)
-        if rows and (found := out(rows)) is not None:
-            yield found
+        held += verdicts(rows)
+        if held:
+            yield out(held)
 
-    return sent.repartition(buckets // FINE, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard int, first int, docs binary, counts binary, whole binary, open binary")
+    return sent.repartition(buckets // FINE, "bucket").sortWithinPartitions("bucket").transform(mapped, run, "shard int, first int, docs binary, counts binary, whole binary, open binary")
 
 
 def finish(data: bytes, ranges: list[tuple[int, int]] | np.ndarray):
@@ -261,7 +268,7 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
 
     def run(batches):
         at, parts, keys, opens, flagged = None, [], None, None, None
-        for batch in slices(tidy(batches), 7, WORDS_PER_SLICE):
+        for batch in slices(batches, 7, WORDS_PER_SLICE):
             made = []
             cols = [c.to_pylist() for c in batch.columns]
             texts = []
@@ -320,7 +327,7 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
                 made.append((SEGMENT, doc, None, None, None, None, None, None, data[begin[j] : end[j]], int(begin[j]), int(low[j]), None))
         return made
 
-    return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
+    return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").transform(mapped, run, DONE)
 
 
 def suffix_ranks(flat: np.ndarray, length: int) -> np.ndarray:
@@ -389,7 +396,7 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
 
     def run(batches):
         at, rows, size = None, [], 0
-        for batch in slices(tidy(batches), 3, CHUNK):
+        for batch in slices(batches, 3, CHUNK):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[0] != at and size >= CHUNK:
                     if (found := find(rows)) is not None:
@@ -405,16 +412,16 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
         import xxhash
 
         kind = pa.schema([("h", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64())])
-        for batch in slices(tidy(batches), 3, CHUNK // 8):
+        for batch in slices(batches, 3, CHUNK // 8):
             made = [(xxhash.xxh3_128_digest(data[i : i + length]), doc, place + i) for _, doc, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i in range(len(data) - length + 1)]
             yield batch_of(kind, *map(list, zip(*made, strict=True)))
 
     rows = open_segments.select("low", "doc_id", "place", "ranges")
     wide = table(rows.groupBy("low").agg(F.sum(F.length("ranges")).alias("n")).where(F.col("n") > WIDE).select("low"), "wide")
     if wide.isEmpty():
-        return rows.repartition(buckets // FINE, "low").sortWithinPartitions("low").mapInArrow(run, result)
+        return rows.repartition(buckets // FINE, "low").sortWithinPartitions("low").transform(mapped, run, result)
     narrow = rows.join(wide, "low", "left_anti").select(rows.columns)
-    windows = table(rows.join(wide, "low", "left_semi").select(rows.columns).mapInArrow(each_window, "h binary, doc_id long, place long"), "windows")
+    windows = table(rows.join(wide, "low", "left_semi").select(rows.columns).transform(mapped, each_window, "h binary, doc_id long, place long"), "windows")
     first = windows.groupBy("h").agg(F.min("doc_id").alias("least"))
     late = windows.join(first, "h").where("doc_id > least")
 
@@ -424,8 +431,8 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
             pairs = np.c_[place, place + length].astype("<i8")
             yield batch_of(out, doc % shards, np.zeros(len(doc), np.int32), doc, [x.tobytes() for x in pairs])
 
-    found = late.select("doc_id", "place").mapInArrow(as_ranges, result)
-    return narrow.repartition(buckets // FINE, "low").sortWithinPartitions("low").mapInArrow(run, result).unionByName(found)
+    found = late.select("doc_id", "place").transform(mapped, as_ranges, result)
+    return narrow.repartition(buckets // FINE, "low").sortWithinPartitions("low").transform(mapped, run, result).unionByName(found)
 
 
 def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
@@ -433,7 +440,7 @@ def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
 
     def run(batches):
         at, known = None, {}
-        for batch in slices(tidy(batches), 4, WORDS_PER_SLICE):
+        for batch in slices(batches, 4, WORDS_PER_SLICE):
             made = []
             for shard, first, doc, ranges, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != at:
@@ -446,7 +453,7 @@ def complete(rows: DataFrame, shards: int, keep_text: bool) -> DataFrame:
             if made:
                 yield batch_of(DONE_SCHEMA, *map(list, zip(*made, strict=True)))
 
-    return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").mapInArrow(run, DONE)
+    return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").transform(mapped, run, DONE)
 
 
 def remove(docs: DataFrame, length: int = 50, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -463,7 +470,7 @@ def remove(docs: DataFrame, length: int = 50, keep: tuple[str, ...] | None = Non
     right = rows.select(
         F.coalesce(F.pmod("doc_id", F.lit(shards)), F.pmod(F.xxhash64("text"), F.lit(shards))).cast("int").alias("shard"), F.lit(1).alias("first"), *[nothing.cast("binary").alias(c) for c in ("docs", "counts", "whole", "open")], "doc_id", "text", "extra",
     )
-    done = table(apply_findings(left.unionByName(right), length, shards, keep_text), "repeats")
+    done = table(apply_findings(left.unionByName(right), length, shards, keep_text), "repeats", True)
     closed = done.where(F.col("kind") == FINISHED)
     ranges = resolve(done.where(F.col("kind") == SEGMENT), length, buckets, shards).select("*", text, more)
     opened = done.where(F.col("kind") == OPEN).select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("first"), "doc_id", "ranges", "text", "extra")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch_of, partitions, read, slices, table
+from .common import U64, batch_of, mapped, partitions, read, slices, table
 from .encoder import encoder, read_spec
 
 MAGIC = b"MLTOKEN1"
@@ -163,7 +163,7 @@ def write(docs: DataFrame, spec: str, end: int = 1, shard_ids: int = 2_000_000)
         if held:
             yield shard()
 
-    return table(rows.mapInArrow(run, SHARD), "tokens")
+    return table(rows.transform(mapped, run, SHARD), "tokens")
 
 
 def documents(shards: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def documents(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
                 yield batch_of(out, names, s[:-1] + starts[shard, part], np.diff(s), crc)
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.transform(mapped, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_file(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import mapped, read, table
 
 FOUND = "query_id long, vec_id long, score long, vector_key int"
 
@@ -116,7 +116,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = 4096) -> DataF
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "vec_id", "score", "vector_key", "task"])
 
-        part = vectors.mapInArrow(run, FOUND + ", task int").withColumn("block", F.lit(b))
+        part = vectors.transform(mapped, run, FOUND + ", task int").withColumn("block", F.lit(b))
         found = part if found is None else found.unionByName(part)
     order = [F.desc("score"), F.asc("vec_id")]
     query = ["query_id", "vector_key", "block"]
