@@ -10,7 +10,8 @@
 3. A piece's rank within its length is its task's base (a sum over counts by task and length) plus its
    place; the plan's slot of that rank is its place.
 
-Null and empty texts are the end id alone. Repeated rows and equal ids are pieces of their own.
+Null and empty texts are the end id alone. Repeated rows, null and equal ids are pieces of their own. Columns beside doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ from .encoder import encoder, read_spec
 PIECES = "doc_id long, n_tokens long, piece int, start long, length long, ids_crc32 long, task int, place long"
 
 
+def place_in_kind(x: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(x, kind="stable")
+    new = np.append(True, x[order][1:] != x[order][:-1])[: len(x)]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return out
+
+
 def pieces(docs: DataFrame, spec: str, size: int, end: int) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("place", pa.int64())])
 
@@ -37,14 +47,17 @@ def pieces(docs: DataFrame, spec: str, size: int, end: int) -> DataFrame:
 
         task, made, code = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), encoder(spec)
         for batch in slices(batches, 1):
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(code.ids(text), np.array([end], code.kind)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    rows.append((doc, len(ids), k, at, len(part), zlib.crc32(part), task, int(made[len(part)])))
-                    made[len(part)] += 1
-            yield batch_of(out, *map(list, zip(*rows, strict=True)))
+            ids, starts = code.closed(batch.column(1), end)
+            whole = np.diff(starts)
+            n = -(-whole // size)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            length = np.minimum(size, whole[doc] - size * piece)
+            place = made[length] + place_in_kind(length)
+            made += np.bincount(length, minlength=size + 1)
+            data, at = memoryview(ids).cast("B"), (starts[doc] + size * piece).tolist()
+            crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at, length.tolist(), strict=True)]
+            yield batch_of(out, batch.column(0).take(pa.array(doc)), whole[doc], piece, size * piece, length, crc, np.full(len(doc), task), place)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, PIECES)
 
@@ -109,7 +122,8 @@ def pack(docs: DataFrame, spec: str, size: int = 2048, end: int = 0) -> DataFram
     grid = np.array(slots or [(0, 0, 0, 0, 0)], np.int64)
     base = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = cut.join(base, ["length", "task"]).select(*names, (F.col("base") + F.col("place")).alias("rank"))
+    # lengths times tasks grow with the input, so this is never broadcast
+    ranked = cut.join(base.hint("merge"), ["length", "task"]).select(*names, (F.col("base") + F.col("place")).alias("rank"))
 
     def place(batches):
         for batch in batches:

@@ -118,12 +118,49 @@ def test_token_file(docs, none):
 
 def test_grammar_round_trip():
     r = np.random.default_rng(2)
-    parts = [r.integers(0, 8, n) for n in (0, 1, 3000, 0, 5000)]
-    shard = tokenfile.Shard(tokenfile.write_shard(parts, 1, 50))
-    whole = np.concatenate([np.append(p, 1) for p in parts])
-    assert len(shard.rules) and (shard.all() == whole).all()
-    assert all((shard.document(i) == np.append(p, 1)).all() for i, p in enumerate(parts))
-    assert all(shard.id_at(i) == whole[i] for i in range(0, len(whole), 97))
+    for k in range(200):
+        stop = int(r.integers(2, 12))
+        parts = [r.integers(0, stop - 1, r.integers(0, 300)) if r.random() < 0.7 else np.zeros(r.integers(0, 90), np.int64) for _ in range(r.integers(1, 8))]
+        ids = np.concatenate([np.append(p, stop) for p in parts]).astype("<u4")
+        shard = tokenfile.Shard(tokenfile.write_shard(ids, 1, stop, 2 + k % 4))
+        whole = np.where(ids == stop, 1, ids)
+        assert (shard.all() == whole).all()
+        assert all((shard.document(i) == np.append(p, 1)).all() for i, p in enumerate(parts))
+        assert all(shard.id_at(i) == whole[i] for i in range(0, len(whole), 17))
+
+
+def test_grammar_is_exhausted():
+    r = np.random.default_rng(3)
+    for least in (2, 4, 7):
+        ids = np.concatenate([np.append(r.integers(0, 5, 400), 6) for _ in range(6)]).astype(np.uint32)
+        symbols, rules, sizes = tokenfile.repair(ids, 7, 6, least)
+        count, last = Counter(), None
+        for pair in zip(symbols.tolist(), symbols[1:].tolist()):
+            overlaps = pair == last and pair[0] == pair[1]
+            last = None if overlaps else pair
+            if not overlaps and 6 not in pair:
+                count[pair] += 1
+        assert len(rules) and max(count.values(), default=0) < least
+        assert sizes.tolist() == [sum(1 if x < 7 else sizes[x - 7] for x in rule) for rule in rules.tolist()]
+
+
+def test_token_file_is_smaller_than_its_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards = tokenfile.write(docs, WORD).collect()
+    n, size = sum(s.n_ids for s in shards), sum(len(s.blob) for s in shards)
+    assert size < 1.5 * n  # 2 bytes are what plain 16-bit ids take
+
+
+def test_batches_equal_the_library():
+    import pyarrow as pa
+
+    own, r = Encoder(WORD), random.Random(8)
+    parts = ["a", "À", "ß", "×", "÷", "µ", "don't", "'", "'re", "'l", "re", "x'", "l", "s", "5", "É", " ", "\n", "<|endoftext|>", "½", "日本", "\x1c", "\x85", "é", "Σ", "İ", "😀", "$$", "ª", "the", ".", "\t"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(6000)] + [None, ""]
+    for k in range(0, len(texts), 7):
+        ids, starts = own.batch(pa.array(texts[k : k + 7], pa.string()))
+        for i, t in enumerate(texts[k : k + 7]):
+            assert ids[starts[i] : starts[i + 1]].tolist() == own.library.encode(t or "", add_special_tokens=False).ids
 
 
 def test_top_k(spark):
