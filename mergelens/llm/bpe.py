@@ -9,10 +9,14 @@ largest is the lookahead. A token whose end lies that far behind the end of what
 change, and what follows it is encoded as if it began there; so it is emitted and forgotten. Memory is
 the block plus the lookahead, for a word of any length.
 
+A text is taken in chunks of some `CHUNK` characters that end before a blank which a non-blank follows, as the split pattern always cuts
+there; a piece longer than a block goes through the transducer block by block. Ids leave chunk by chunk, so beside the text itself memory
+does not grow with it.
+
 Decoding turns ids into bytes and feeds them to an incremental UTF-8 automaton, which keeps an
 unfinished character between steps and puts U+FFFD for what can't be one.
 
-Nulls are empty texts with no ids. Tie and repeated rows are independent rows.
+Nulls are empty texts with no ids. Tie and repeated rows are independent rows. A column of docs with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import codecs
 import hashlib
 import json
 from bisect import bisect_left
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 SPLITTER = regex.compile(SPLIT.replace(r"(?!\S)", f"(?={SPACE}|\\Z)").replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r \x85\xa0  -     　\p{L}\p{N}]").replace(r"\s+", f"{SPACE}+"))
 BLOCK = 4096
+CHUNK = 1 << 16
 
 
 def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -172,16 +178,43 @@ class Transducer:
         at = 0
         for m in [*(self.special.finditer(text) if self.special else ()), None]:
             for piece in SPLITTER.finditer(text, at, m.start() if m else len(text)) if not m else SPLITTER.finditer(text[at : m.start()]):
-                yield self.pieces[piece.group()]
+                if piece.end() - piece.start() > self.block:
+                    yield from self._long(piece.group())
+                else:
+                    yield self.pieces[piece.group()]
             if m:
                 yield np.array([self.added[m.group()]], self.kind).tobytes()
                 at = m.end()
 
+    def _long(self, piece: str):
+        """A long piece's ids, some thousand at a time, as they become stable."""
+        tokens = self.stream(piece[i : i + self.block].encode() for i in range(0, len(piece), self.block))
+        while some := list(islice(tokens, self.block)):
+            yield np.array([self.vocab[t] for t in some], self.kind).tobytes()
+
+    def emit(self, text: str | None, chunk: int = CHUNK):
+        """The ids of a whole text, array by array."""
+        text, at = text or "", 0
+        while at < len(text):
+            end = len(text)
+            if end - at > 2 * chunk and (m := CUT.search(text, at + chunk)):
+                end = m.start()
+            if end - at <= 4 * chunk:
+                yield self.ids(text[at:end])
+            else:  # hardly any blanks
+                for part in self._parts(text[at:end]):
+                    yield np.frombuffer(part, self.kind)
+            at = end
+
     def decode(self, ids, step: int = 32_768):
         """Text of ids, piece by piece; memory is one step."""
+        return self.decoded(ids[at : at + step] for at in range(0, len(ids), step))
+
+    def decoded(self, arrays):
+        """Text of ids that come in arrays."""
         automaton = codecs.getincrementaldecoder("utf-8")("replace")
-        for at in range(0, len(ids), step):
-            yield automaton.decode(b"".join(map(self.bytes_of.__getitem__, ids[at : at + step].tolist())))
+        for ids in arrays:
+            yield automaton.decode(b"".join(map(self.bytes_of.__getitem__, ids.tolist())))
         yield automaton.decode(b"", True)
 
 
@@ -190,6 +223,7 @@ class Unsafe(Exception):
 
 
 BLANK = regex.compile(SPACE)
+CUT = regex.compile(f" (?!{SPACE})(?=.)", regex.DOTALL)
 
 
 def transducer(spec: str) -> Transducer:
@@ -198,13 +232,14 @@ def transducer(spec: str) -> Transducer:
 
 def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids (binary, little-endian unsigned 32-bit); null texts have none."""
+    docs = docs.drop(ids)
     schema = widen(docs, **{ids: "binary"})
     at = docs.columns.index(text)
 
     def run(batches):
         machine = transducer(spec)
         for batch in slices(batches, at):
-            found = [machine.ids(t).astype("<u4").tobytes() for t in batch.column(at).to_pylist()]
+            found = [b"".join(a.astype("<u4").tobytes() for a in machine.emit(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, ids])
 
     return docs.transform(mapped, run, schema)
@@ -212,6 +247,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") ->
 
 def decode(rows: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of their ids."""
+    rows = rows.drop(text)
     schema = widen(rows, **{text: "string"})
     at = rows.columns.index(ids)
 
@@ -233,10 +269,18 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
         for batch in slices(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
-                ids, back = machine.ids(text), hashlib.sha256()
-                for part in machine.decode(ids):
+                n, own, back = 0, hashlib.sha256(), hashlib.sha256()
+
+                def told(arrays):
+                    nonlocal n
+                    for ids in arrays:
+                        n += len(ids)
+                        own.update(ids.astype("<u4").tobytes())  # noqa: B023
+                        yield ids
+
+                for part in machine.decoded(told(machine.emit(text))):
                     back.update(part.encode())
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), back.hexdigest()))
+                rows.append((n, own.hexdigest(), back.hexdigest()))
             yield batch_of(out, batch.column(0), *map(list, zip(*rows, strict=True)))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,7 @@ Likeness is the share of bins that agree, less what chance gives; the empty text
 
 Documents stand in ascending doc_id (nulls first, ties by text, nulls first); the next of the last is the first. They are dealt to range buckets of
 doc_id whose bounds come from quantiles; each bucket's first document is also sent to the bucket before it. Null
-texts are empty. Repeated rows follow each other.
+texts are empty. Repeated rows follow each other. A column named fingerprint is replaced; with_edits reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -135,6 +135,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with their fingerprint, each text on its own."""
     from .common import widen
 
+    docs = docs.drop("fingerprint")
     at, schema = docs.columns.index(text), widen(docs, fingerprint="string")
 
     def run(batches):

@@ -9,11 +9,12 @@ log P(l | page) = text likelihood + log P(declared | l) + log P(l | host), each
 * host: posterior sums by host, smoothed towards its address suffix, which is smoothed towards all rows. A row's own
   text is taken out of its host's sums, so that no evidence counts twice.
 
-The n-gram model is fitted on at most about `sample` texts of each of the 64 commonest labels, to 2048 characters each (a
-bounded fit on labels); every other figure covers all rows. Rows keep their place: null and empty texts have even text
+The n-gram model is fitted on about `sample` whole texts of each label, whatever their number (a bounded fit on labels, four times as many at
+most); every other figure covers all rows. Rows keep their place: null and empty texts have even text
 evidence, null hosts and declared languages are groups of their own. A row is accepted if its text has letters
 and its best language has `least` of the posterior; ties go to the first language in alphabetical order. Without any
-label, no language is known and rows with letters are accepted. Equal rows get equal results.
+label, no language is known and rows with letters are accepted. Equal rows get equal results. Other columns of pages or documents are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from mergelens.operators.stats import per_group_cap
 from .common import flat_bytes, mapped, read, slices, table, widen
 
 BITS = 13
-TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+CLOSING = {name: re.compile(rf"</{name}\s*>") for name in ("script", "style")}
+OPENING = re.compile(r"<(script|style)\b")
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -96,7 +99,28 @@ def fit(docs: DataFrame, sample: int = 300, weight: float = 60.0, text: str = "t
 
 
 def strip_markup(html: str) -> str:
-    return TAGS.sub(" ", html)
+    """A blank for each tag, comment, script and style; once an ending is not found it is not looked for again, so time is linear."""
+    low, out, at, missing = html.translate(ASCII_LOWER), [], 0, set()
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end = -1
+        if (m := OPENING.match(low, i)) and m[1] not in missing:
+            close = CLOSING[m[1]].search(low, m.end())
+            end = close.end() if close else -1
+            if not close:
+                missing.add(m[1])
+        elif html.startswith("<!--", i) and "-->" not in missing:
+            end = html.find("-->", i + 4) + 3
+            if end < 3:
+                end = -1
+                missing.add("-->")
+        if end < 0:
+            end = html.find(">", i + 1) + 1
+            if not end:
+                return "".join([*out, html[i:]])
+        out.append(" ")
+        at = end
+    return "".join([*out, html[at:]])
 
 
 def score_text(rows: DataFrame, model: TextModel, text: str, markup: bool) -> DataFrame:
@@ -145,7 +169,7 @@ def fuse(scored: DataFrame, model: TextModel, least: float = 0.5, by_suffix: flo
     declared = rows.groupBy("declared").agg(*sums)
     kinds = F.lit(float(declared.count() + 1))
     declared = declared.select("declared", F.transform(F.arrays_zip(pack("s").alias("a"), F.array(*map(F.lit, everywhere)).alias("b")), lambda x: F.log((x["a"] + by_declared) / (x["b"] + by_declared * kinds))).alias("declared_logs"))
-    full = rows.join(hosts, ["host", "suffix"]).join(declared, "declared")
+    full = join_hosts(rows, table(hosts, "hosts", narrow=True)).join(declared, "declared")
     zipped = F.arrays_zip(F.col("likelihoods").alias("t"), F.col("own").alias("o"), F.col("host_sums").alias("h"), F.col("suffix_share").alias("s"), F.col("declared_logs").alias("d"))
     others = F.greatest(n_of(F.col("host_sums")) - 1.0, F.lit(0.0))
     logs = F.transform(zipped, lambda x: x["t"] + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(x["d"]) + F.log((F.greatest(x["h"] - x["o"], F.lit(0.0)) + by_host * x["s"]) / (others + by_host)))
@@ -161,6 +185,15 @@ def fuse(scored: DataFrame, model: TextModel, least: float = 0.5, by_suffix: flo
     )
 
 
+def join_hosts(rows: DataFrame, hosts: DataFrame, most: int = 100_000, salts: int = 32) -> DataFrame:
+    """rows with what is known of their hosts. Up to `most` hosts are broadcast (some hundred bytes each); more are joined with salts, each host
+    being sent once for each, so that a host with a third of all rows meets them in many tasks."""
+    if hosts.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(hosts), ["host", "suffix"])
+    salted = rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int"))
+    return salted.join(hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "suffix", "_salt"]).drop("_salt")
+
+
 def host_of(url):
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 

@@ -1,15 +1,16 @@
 """Exact top-k by integer inner product with multi-resolution segment statistics.
 
-Of each vector, cut into 1, 2, 4, ... segments, the means and deviations are kept. For one segment of length m,
+Of each vector, cut into 1, 2, 4, ... segments down to pairs of components, the means and deviations are kept. For one segment of length m,
 |q - c|^2 >= m ((mean_q - mean_c)^2 + (dev_q - dev_c)^2), and since <q, c> = (|q|^2 + |c|^2 - |q - c|^2) / 2, the sum over
 segments bounds every score from above, finer segments more closely. Queries come in blocks of a fixed size, each broadcast (its
-size is bounded: `block` vectors) and held against all rows where they lie. In a task, the candidates with the best
-coarse bounds set a threshold; others survive a level only if their bound reaches it, coarse to fine; survivors get exact scores.
+size is bounded: `block` vectors) and held against all rows where they lie. In a task, a query's threshold is its k-th best
+score so far; in the first batch the candidates with the best coarse bounds set it, later batches go on from it. Others survive
+a level only if their bound reaches it, coarse to fine; survivors get exact scores.
 A task sends on its k best of each query, and these meet in two steps, first by a salt, then by query.
 
 Rows with null ids or vectors, or null or non-finite components, take no part. Only vectors of equal length are compared. A
 query is a distinct (id, vector); candidates are the rows with another id, a repeated row counts as often as it is there.
-Scores beyond 64 bits are cut to the range of long.
+Scores beyond 64 bits are cut to the range of long. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ FOUND = "query_id long, vec_id long, score long, vector_key int"
 def statistics(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """At each level: segment lengths, means times root length, deviations times root length."""
     out, d, parts = [], x.shape[1], 1
-    while parts <= max(1, d // 4):
+    while parts <= max(1, d // 2):
         cut = np.linspace(0, d, parts + 1).astype(int)[:-1]
         m = np.diff(np.append(cut, d)).astype(float)
         mean = np.add.reduceat(x, cut, axis=1) / m
@@ -47,29 +48,32 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([min(high, max(low, sum(i * j for i, j in zip(a, row, strict=True)))) for row in b], np.int64)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
-    """(query's place, row's place, score) of the k best rows for each query among these rows."""
+def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, floors: np.ndarray | None = None, seen: np.ndarray | None = None):
+    """(query's place, row's place, score) of the k best rows for each query among these rows, but for those known to be below a query's
+    floor. seen: gets the number of rows that each level looked at, and last that of exact scores."""
     if not rows.shape[1]:
         rows, queries = np.zeros((len(rows), 1)), np.zeros((len(queries), 1))
     q_levels, c_levels = statistics(queries), statistics(rows)
     q_norm, c_norm = (queries * queries).sum(axis=1), (rows * rows).sum(axis=1)
     slack = 1e-9 * (1 + np.abs(q_norm).max() + np.abs(c_norm).max())
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
     for i in range(len(queries)):
         may = np.flatnonzero(row_ids != query_ids[i])
-        best = None
-        for (_, qm, qd), (_, cm, cd) in zip(q_levels, c_levels, strict=True):
+        best = float(floors[i])
+        for level, ((_, qm, qd), (_, cm, cd)) in enumerate(zip(q_levels, c_levels, strict=True)):
             if not len(may):
                 break
+            if seen is not None:
+                seen[level] += len(may)
             bound = cm[may] @ qm[i] + cd[may] @ qd[i]
-            if best is None:
-                take = may if len(may) <= 4 * k else may[np.argpartition(-bound, 4 * k)[: 4 * k]]
-                scores = exact(queries[i], rows[take])
-                best = np.sort(scores)[::-1][k - 1] if len(scores) >= k else None
-                if best is None:
-                    break
-            may = may[bound >= float(best) - slack]
+            if not level and len(may) > 4 * k and best == -np.inf:
+                take = may[np.argpartition(-bound, 4 * k)[: 4 * k]]
+                best = float(np.sort(exact(queries[i], rows[take]))[::-1][k - 1])
+            may = may[bound >= best - slack]
         if not len(may):
             continue
+        if seen is not None:
+            seen[-1] += len(may)
         scores = exact(queries[i], rows[may])
         order = np.lexsort((row_ids[may], ~scores))[:k]
         for j in order:
@@ -96,6 +100,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = 4096) -> DataF
             from pyspark import TaskContext
 
             keep: dict[int, list] = {}
+            floors = {d: np.full(len(q[0]), -np.inf) for d, q in sent.value.items()}
             task = TaskContext.get().partitionId()
             for batch in batches:
                 ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -107,11 +112,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = 4096) -> DataF
                     if not len(mine):
                         continue
                     rows = flat[(starts[mine][:, None] + np.arange(d)[None, :])].astype(float)
-                    for i, j, score in search(queries, query_ids, rows, ids[mine], k):
+                    for i, j, score in search(queries, query_ids, rows, ids[mine], k, floors[d]):
                         keep.setdefault(int(keys[i]), []).append((-score, int(ids[mine][j]), int(query_ids[i])))
-                for key, some in keep.items():
+                for some in keep.values():
                     some.sort()
                     del some[k:]
+                for d, (keys, *_) in sent.value.items():
+                    floors[d] = np.array([-keep[key][-1][0] if len(keep.get(key, ())) == k else -np.inf for key in keys.tolist()], float)
             rows = [(q, v, -s, key, task) for key, some in keep.items() for s, v, q in some]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "vec_id", "score", "vector_key", "task"])
