@@ -35,12 +35,14 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id."""
+    """One document of each group of near-duplicates: the smallest id. Of rows that share that id each different text stays once."""
     left = without(docs, near.classes(docs).where(F.col("doc_id") != F.col("class_id")))
     again = table(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     if again.isEmpty():
         return left
-    return without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    each = left.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "text", "x.*")
+    return without(left, again).unionByName(each.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
