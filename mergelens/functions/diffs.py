@@ -39,3 +39,15 @@ def modified_functions(diff) -> Column:
     context = F.regexp_extract_all(diff, F.lit(r"(?m)^@@ [^@]*@@.*?(\w+)\s*\("), F.lit(1))
     defined = F.regexp_extract_all(diff, F.lit(r"(?m)^\+\s*(?:async def|def|class|function|func|fn|pub fn|const|let|var)\s+(\w+)"), F.lit(1))
     return F.array_sort(F.array_distinct(F.filter(F.concat(context, defined), lambda x: F.length(x) > 1)))
+
+
+def added_simple(diff, most_lines: int = 200, most_chars: int = 6000) -> Column:
+    """Added lines as they are, the first `most_lines`, cut to `most_chars` characters."""
+    return F.substring(F.array_join(F.slice(added_lines(diff, False), 1, most_lines), "\n"), 1, most_chars)
+
+
+def new_lines(diff, target) -> Column:
+    """Where the hunks of one file begin in its new version; of several sections of that file those of the first."""
+    sections = F.split(F.coalesce(diff, F.lit("")), r"(?m)^diff --git ")
+    own = F.filter(sections, lambda s: F.regexp_extract(s, r"(?m)^\+\+\+ b/(.+)$", 1) == target)
+    return F.when(F.size(own) > 0, hunk_starts(F.element_at(own, 1))).otherwise(F.array().cast("array<bigint>"))

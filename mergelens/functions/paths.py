@@ -69,11 +69,19 @@ def is_config_pattern(path) -> Column:
 
 #: Language by extension.
 LANGUAGES = {
-    ".py": "Python", ".go": "Go", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".rs": "Rust",
-    ".java": "Java", ".c": "C", ".h": "C", ".cpp": "C++", ".hpp": "C++", ".json": "JSON", ".md": "Markdown",
+    ".py": "python", ".js": "javascript", ".ts": "typescript",
+    ".jsx": "javascript", ".tsx": "typescript", ".go": "go",
+    ".rs": "rust", ".java": "java", ".c": "c", ".cpp": "cpp",
+    ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby",
+    ".php": "php", ".swift": "swift", ".kt": "kotlin",
+    ".scala": "scala", ".sql": "sql", ".sh": "shell",
+    ".yaml": "yaml", ".yml": "yaml", ".json": "json",
+    ".xml": "xml", ".toml": "toml", ".md": "markdown",
+    ".css": "css", ".html": "html", ".vue": "vue",
 }
 
 
 def language(path, names: dict[str, str] | None = None) -> Column:
+    """The language by extension; null for others."""
     pairs = [F.lit(x) for item in (names or LANGUAGES).items() for x in item]
-    return F.coalesce(F.create_map(*pairs)[suffix(path)], F.lit("unknown"))
+    return F.create_map(*pairs)[suffix(path)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergelens.functions import diffs, paths, text
-from mergelens.operators import metrics, responses, rules, similarity, stats, structure
+from mergelens.operators import metrics, responses, rules, similarity, stats
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -300,43 +300,13 @@ def modified_functions(spark, d):
     return changes(spark, d).select("pr_id", F.array_join(diffs.modified_functions(F.col("diff")), ",").alias("functions"))
 
 
-@query(f"SELECT pr_id, path, count(*) AS added FROM (SELECT pr_id, x, last_value(CASE WHEN starts_with(x, '+++ b/') THEN substr(x, 7) END IGNORE NULLS) OVER (PARTITION BY pr_id ORDER BY i) AS path FROM (SELECT pr_id, unnest(string_split(diff, chr(10))) AS x, generate_subscripts(string_split(diff, chr(10)), 1) AS i FROM {CHANGES})) WHERE starts_with(x, '+') AND NOT starts_with(x, '+++') GROUP BY ALL")
+@query(f"SELECT pr_id, path, count(*) AS added FROM (SELECT pr_id, x, last_value(CASE WHEN starts_with(x, '+++ b/') THEN substr(x, 7) WHEN starts_with(x, 'diff --git ') THEN regexp_extract(x, ' b/(.+)$', 1) END IGNORE NULLS) OVER (PARTITION BY pr_id ORDER BY i) AS path FROM (SELECT pr_id, unnest(string_split(diff, chr(10))) AS x, generate_subscripts(string_split(diff, chr(10)), 1) AS i FROM {CHANGES})) WHERE starts_with(x, '+') AND NOT starts_with(x, '+++') GROUP BY ALL")
 def diff_file_map(spark, d):
     rows = changes(spark, d).select("pr_id", F.posexplode(diffs.lines(F.col("diff"))).alias("i", "x"))
     path = F.last(F.when(F.col("x").startswith("+++ b/"), F.expr("substr(x, 7)")), True).over(Window.partitionBy("pr_id").orderBy("i"))
     return rows.withColumn("path", path).where(F.col("x").startswith("+") & ~F.col("x").startswith("+++")).groupBy("pr_id", "path").agg(F.count("*").alias("added"))
 
 
-# --- code structure ---
-CODE = "'def f' || doc_id || '(x):' || chr(10) || '    for i in x:' || chr(10) || '        if i > ' || (n_chars % 7) || ':' || chr(10) || '            continue' || chr(10) || '        y = i' || chr(10) || '    return x'"
-
-
-def code(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("(x):\n    for i in x:\n        if i > "), (F.col("n_chars") % 7).cast("string"), F.lit(":\n            continue\n        y = i\n    return x")).alias("code"))
-
-
-@query(f"SELECT doc_id, {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in dict(func_def=1, class_def=0, if_nodes=1, loop_nodes=1, try_nodes=0, return_nodes=1, assignment_nodes=1, total_nodes=11).items())}, CAST(4 AS BIGINT) AS depth FROM documents")
-def ast_lexical(spark, d):
-    c = structure.lexical_counts(F.col("code"))
-    return code(spark, d).select("doc_id", *[v.alias(k) for k, v in c.items()], structure.indent_depth(F.col("code")).alias("depth"))
-
-
-@query("SELECT pr_id, CAST(CASE WHEN n % 3 = 0 THEN 1 ELSE n % 3 + 1 END AS BIGINT) AS depth FROM (SELECT o_orderkey AS pr_id, o_orderkey AS n FROM orders)")
-def brace_depth(spark, d):
-    k = (F.col("o_orderkey") % 3).cast("int")
-    return t(spark, d, "orders").select(F.col("o_orderkey").alias("pr_id"), structure.brace_depth(F.concat(F.repeat(F.lit("{\n"), k), F.lit("x"), F.repeat(F.lit("\n}"), k))).alias("depth"))
-
-
-@query("SELECT doc_id, pos, CASE pos WHEN 1 THEN 'loop' WHEN 2 THEN 'branch' WHEN 3 THEN 'jump' WHEN 5 THEN 'exit' ELSE 'statement' END AS flow FROM documents, (SELECT unnest(range(6))::INTEGER AS pos)")
-def cfg_line_classes(spark, d):
-    return code(spark, d).select("doc_id", F.posexplode(F.split("code", "\n")).alias("pos", "line")).select("doc_id", "pos", structure.flow_class(F.col("line")).alias("flow"))
-
-
-@query()
-def cfg_features(spark, d):
-    return code(spark, d).select("doc_id", structure.flow(F.col("code")).alias("x")).select("doc_id", "x.*")
-
-
 # --- classification metrics ---
 _CONF = "count(*) FILTER (quality = 0 AND guess = 0) AS tn, count(*) FILTER (quality = 0 AND guess = 1) AS fp, count(*) FILTER (quality = 1 AND guess = 0) AS fn, count(*) FILTER (quality = 1 AND guess = 1) AS tp"
 
@@ -524,15 +494,15 @@ def ordered_dedupe(spark, d):
     return stats.first_by(t(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT doc_id, 'seed' AS origin FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'new' FROM documents d WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)")
+@query("SELECT doc_id, 'seed' AS origin FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'new' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)")
 def union_priority(spark, d):
     seed = t(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("seed").alias("origin"))
-    return seed.unionByName(t(spark, d, "documents").where("doc_id % 3 = 0").join(seed, "doc_id", "left_anti").select("doc_id", F.lit("new").alias("origin")))
+    return seed.unionByName(t(spark, d, "documents").join(seed, "doc_id", "left_anti").select("doc_id", F.lit("new").alias("origin")))
 
 
-@query("SELECT count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels)")
+@query("SELECT count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)")
 def set_overlap(spark, d):
-    return t(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id").intersect(t(spark, d, "labels").select("doc_id")).agg(F.count("*").alias("n"))
+    return t(spark, d, "documents").select("doc_id").intersect(t(spark, d, "labels").select("doc_id")).agg(F.count("*").alias("n"))
 
 
 # --- conversations as reviews ---
@@ -561,22 +531,38 @@ def against_benchmark(spark, d, measure, name):
     return similarity.against_all(docs, t(spark, d, "benchmark").select("item_id", text.lower_tokens("text").alias("b")), measure, name)
 
 
-# The twin pairs only every 40th document with five items, over 300 characters: less than the queries.
-_TOK = "list_filter(string_split_regex(lower(substr(text, 1, 300)), '\\s+'), lambda x: x <> '')"
-PAIRS = f"(SELECT doc_id, item_id, a, b FROM (SELECT doc_id, {_TOK} AS a FROM documents WHERE doc_id % 40 = 0), (SELECT item_id, {_TOK} AS b FROM benchmark WHERE item_id < 5))"
+_TOK = "list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')"
+_DOCS, _ITEMS = f"(SELECT doc_id, {_TOK} AS a FROM documents)", f"(SELECT item_id, {_TOK} AS b FROM benchmark)"
+# the twins count common words and n-grams by joins on them, never pair by pair
+_COMMON = f"(SELECT doc_id, item_id, count(*) AS c FROM (SELECT doc_id, unnest(list_distinct(a)) AS w FROM {_DOCS}) JOIN (SELECT item_id, unnest(list_distinct(b)) AS w FROM {_ITEMS}) USING (w) GROUP BY 1, 2)"
+
+
+def _grams(c: str, n: int) -> str:
+    return f"list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))"
+
+
+def _hits(n: int) -> str:
+    return f"(SELECT doc_id, item_id, sum(k) AS h{n} FROM (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest({_grams('a', n)}) AS w FROM {_DOCS}) GROUP BY 1, 2) JOIN (SELECT item_id, unnest(list_distinct({_grams('b', n)})) AS w FROM {_ITEMS}) USING (w) GROUP BY 1, 2)"
 
 
-@query(f"SELECT doc_id, item_id, round(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE 2 * len(list_intersect(x, y)) / CAST(len(x) + len(y) AS DOUBLE) END, 4) AS rouge1 FROM (SELECT doc_id, item_id, list_distinct(a) AS x, list_distinct(b) AS y FROM {PAIRS})")
+def _bleu(most: int) -> str:
+    parts = " + ".join(f"CASE WHEN n >= {k} THEN ln(greatest(coalesce(h{k}, 0) / (n - {k - 1})::DOUBLE, 1e-10)) ELSE 0 END" for k in range(1, most + 1))
+    joins = " ".join(f"LEFT JOIN {_hits(k)} USING (doc_id, item_id)" for k in range(1, most + 1))
+    mean = "greatest(coalesce(h1, 0) / n::DOUBLE, 1e-10)" if most == 1 else f"exp(({parts}) / least(n, {most}))"
+    return f"SELECT doc_id, item_id, CASE WHEN n = 0 OR m = 0 THEN 0 ELSE round({mean} * (CASE WHEN n >= m THEN 1 ELSE exp(1 - m / n::DOUBLE) END), 4) END AS bleu{most} FROM (SELECT doc_id, item_id, len(a) AS n, len(b) AS m FROM {_DOCS}, {_ITEMS}) {joins}"
+
+
+@query(f"SELECT doc_id, item_id, round(CASE WHEN n + m = 0 THEN 0 ELSE 2 * coalesce(c, 0) / (n + m)::DOUBLE END, 4) AS rouge1 FROM (SELECT doc_id, item_id, len(list_distinct(a)) AS n, len(list_distinct(b)) AS m FROM {_DOCS}, {_ITEMS}) LEFT JOIN {_COMMON} USING (doc_id, item_id)")
 def rouge_sets(spark, d):
     return against_benchmark(spark, d, similarity.References.overlap_f1, "rouge1")
 
 
-@query(f"SELECT doc_id, item_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE greatest(len(list_filter(a, lambda x: list_contains(b, x))) / CAST(len(a) AS DOUBLE), 1e-10) * (CASE WHEN len(a) >= len(b) THEN 1 ELSE exp(1 - len(b) / CAST(len(a) AS DOUBLE)) END) END, 4) AS bleu1 FROM {PAIRS}")
+@query(_bleu(1))
 def bleu1(spark, d):
     return against_benchmark(spark, d, lambda refs, flat, sizes: refs.bleu(flat, sizes, 1), "bleu1")
 
 
-@query()
+@query(_bleu(4))
 def bleu4(spark, d):
     return against_benchmark(spark, d, lambda refs, flat, sizes: refs.bleu(flat, sizes, 4), "bleu4")
 
@@ -597,9 +583,11 @@ def as_of_history(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", F.count("*").over(w).alias("earlier"), F.round(F.avg("value").over(w), 6).alias("earlier_mean"))
 
 
-@query(f"SELECT q.doc_id, c.doc_id AS similar, round(3 * (q.source = c.source)::INTEGER + 2 * exp(-abs(q.n_chars - c.n_chars) / 500.0::DOUBLE), 4) AS score FROM ({LABELLED}) q JOIN ({LABELLED}) c ON q.source = c.source AND q.doc_id <> c.doc_id WHERE q.doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY score DESC, c.doc_id) <= 3")
+_TITLED = f"(SELECT doc_id, source, n_chars, len(string_split(text, chr(10))) AS files, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 80)), '\\s+'), lambda x: x <> '')) AS t FROM ({LABELLED}))"
+
+
+@query(f"SELECT q.doc_id, c.doc_id AS similar, round(3 * (q.source = c.source)::INTEGER + 2 * exp(-abs(q.files - c.files) / 10.0::DOUBLE) + 2 * exp(-abs(q.n_chars - c.n_chars) / 500.0::DOUBLE) + 2 * (CASE WHEN len(q.t) = 0 THEN 0 ELSE len(list_intersect(q.t, c.t)) / len(q.t)::DOUBLE END), 4) AS score FROM {_TITLED} q JOIN {_TITLED} c ON q.doc_id <> c.doc_id WHERE q.doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY score DESC, c.doc_id) <= 3")
 def similar_topk(spark, d):
-    # the twin holds each query against its own source only, by two of the four terms: less than the query
     docs = t(spark, d, "documents").select("doc_id", "source", F.size(F.split(text.safe(F.col("text")), "\n")).alias("files"), "n_chars", F.array_distinct(text.lower_tokens(F.substring("text", 1, 80))).alias("title"))
     rows = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id")
     return similarity.similar(rows, rows.where("doc_id % 50 = 0"), "doc_id", "source", "files", "n_chars", "title", 3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mergelens.functions import diffs, paths, text
 from mergelens.operators import metrics, responses, similarity, stats, structure
-from mergelens.plans import catalog
+from mergelens.plans import catalog, reviews  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
