@@ -417,9 +417,10 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
             yield batch_of(kind, *map(list, zip(*made, strict=True)))
 
     rows = open_segments.select("low", "doc_id", "place", "ranges")
-    wide = table(rows.groupBy("low").agg(F.sum(F.length("ranges")).alias("n")).where(F.col("n") > WIDE).select("low"), "wide")
+    wide = rows.groupBy("low").agg(F.sum(F.length("ranges")).alias("n")).where(F.col("n") > WIDE).select("low")
     if wide.isEmpty():
         return rows.repartition(buckets // FINE, "low").sortWithinPartitions("low").transform(mapped, run, result)
+    wide = table(wide, "wide")
     narrow = rows.join(wide, "low", "left_anti").select(rows.columns)
     windows = table(rows.join(wide, "low", "left_semi").select(rows.columns).transform(mapped, each_window, "h binary, doc_id long, place long"), "windows")
     first = windows.groupBy("h").agg(F.min("doc_id").alias("least"))

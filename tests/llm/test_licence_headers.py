@@ -24,6 +24,8 @@ HEADERS = {
     "AGPL-3.0": [GNU.format(":", "Affero ", 3), WARRANTY],
     "BSD-2-Clause": BSD,
     "BSD-3-Clause": [*BSD, NAMES],
+    "Apache-2.0": [licences._APACHE[: licences._APACHE.index(" Unless")], licences._APACHE[licences._APACHE.index("Unless") :]],
+    "MIT": ["Copyright (c) 2020 Someone", licences._MIT[: licences._MIT.index(" THE SOFTWARE IS")], licences._MIT[licences._MIT.index("THE SOFTWARE IS") :]],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
@@ -54,3 +56,37 @@ def test_spdx(idf):
     assert scan("# SPDX-License-Identifier: GPL-3.0-or-later\n") == "GPL-3.0"
     assert scan("/* SPDX-License-Identifier: (GPL-2.0+ OR MIT) */") == "GPL-2.0"
     assert scan("# SPDX-License-Identifier: EPL-2.0") is None
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"])
+def test_whole_licence_files(idf, name):
+    scanner = licences.Scanner(licences.TEMPLATES, idf)
+    whole = max(licences.TEMPLATES[name], key=len)
+    file = f"{name} License\n\nCopyright (c) 2020 Someone\n\n" + "\n".join(textwrap.wrap(whole, 70))
+    found, score = scanner.scan(file, True, 0.6)
+    assert found == name and score > 0.9
+
+
+def cosine(idf, rarest, a, b):
+    import math
+    from collections import Counter
+
+    def vector(t):
+        return {w: (1 + math.log(n)) * idf.get(w, rarest) for w, n in Counter(licences.TOKEN.findall(t.lower())).items()}
+
+    x, y = vector(a), vector(b)
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    return sum(w * y.get(t, 0) for t, w in x.items()) / (norm(x) * norm(y) or 1)
+
+
+def test_scores_and_frequencies_by_brute_force(spark, idf):
+    import math
+
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for word in ("license", "software", "the"):
+        n = sum(word in licences.TOKEN.findall((t or "").lower()) for t in docs)
+        assert math.isclose(idf[word], math.log((len(docs) + 1) / (n + 1)) + 1)
+    scanner = licences.Scanner(licences.TEMPLATES, idf)
+    for line in ("Licensed under the MIT License", "free software under the GNU General Public License version 2", "all rights reserved"):
+        best = max(cosine(idf, scanner.rarest, line, t) for group in licences.TEMPLATES.values() for t in group)
+        assert math.isclose(scanner.best(line)[0], best)
