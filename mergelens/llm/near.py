@@ -15,8 +15,7 @@ Links are found without all pairs of a bucket:
    links leave it.
 
 Pairs are verified by their exact probability Jaccard (0.8 or more). Components come from minimum labels
-with pointer jumping. Sketches, the texts of candidates and the labels of each round are tables in the shared folder; the numbers between them (members
-of buckets, verified pairs, edges) are kept by the executors, and what is lost with one is made again from those tables.
+with pointer jumping. Everything that a later step reads again is a table in the shared folder.
 
 Result: one row per row of docs: doc_id, copy_of (smallest doc_id with the same words), class_id (smallest doc_id of its component).
 Texts without words, null ones included, are linked to nothing; rows without a doc_id have null classes and are linked to nothing. Rows
@@ -28,7 +27,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,30 +147,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.transform(mapped, run, "a long, b long, similarity double")
 
 
-class Between:
-    """DataFrames of numbers that executors keep until the end."""
-
-    def __init__(self):
-        self.all: list[DataFrame] = []
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.all.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.all[-1]
-
-    def drop(self) -> None:
-        for df in self.all:
-            df.unpersist()
-
-
-def components(links: DataFrame, between: Between, start: DataFrame | None = None) -> DataFrame:
-    """doc, label of every document in links (a, b): the smallest in its component. start: labels from some of the links."""
-    both = between.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
+def components(links: DataFrame, files: int, start: DataFrame | None = None) -> DataFrame:
+    """doc, label of every document in links (a, b): the smallest in its component. start: labels from some of the links. Its tables hold a
+    few numbers for each link and are written as so many files."""
+    both = table(links.select("a", "b").union(links.select("b", "a")).distinct().coalesce(files), "edges")
     first = both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m"))
     if start is None:
         first = first.select("doc", F.least("doc", "m").alias("label"))
     else:
         first = first.join(start.select("doc", F.col("label").alias("s")), "doc", "left").select("doc", F.least("doc", "m", "s").alias("label"))
-    files = 1 + both.count() // 500_000  # labels are a few numbers for each link: few files for few links
     labels = table(first.coalesce(files), "labels")
     while True:
         near = both.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("m"))
@@ -249,26 +232,26 @@ def classes(docs: DataFrame, threshold: float = 0.8, first_bands: int = 4) -> Da
     reps = known.groupBy("key").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands"))
     rows = reps.select("doc", F.posexplode("bands").alias("band", "bucket"))
     hubs = rows.groupBy("band", "bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("band", "bucket", "hub")
-    between = Between()
-    members = between.keep(rows.join(hubs, ["band", "bucket"]).where("doc <> hub"))  # the hub itself is in its column
+    members = table(rows.join(hubs, ["band", "bucket"]).where("doc <> hub"), "members")  # the hub itself is in its column
     wanted = members.select("doc").union(members.select(F.col("hub").alias("doc"))).distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     texts = table(source.join(wanted, "doc", "left_semi"), "texts")
     pairs = lambda m: m.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    done = between.keep(verified(pairs(members.where(F.col("band") < first_bands)), texts))
+    done = table(verified(pairs(members.where(F.col("band") < first_bands)), texts), "verified")
+    files = 1 + done.count() // 500_000
     linked = lambda x: x.where(F.col("similarity") >= threshold).select("a", "b")
-    labels = components(linked(done), between)
+    labels = components(linked(done), files)
     lx, ly = labels.select(F.col("doc").alias("a"), F.col("label").alias("_a")), labels.select(F.col("doc").alias("b"), F.col("label").alias("_b"))
     rest = pairs(members.where(F.col("band") >= first_bands)).join(done.select("a", "b"), ["a", "b"], "left_anti")
     rest = rest.join(lx, "a", "left").join(ly, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    links = between.keep(linked(done).unionByName(linked(verified(rest, texts))))
-    labels = components(links, between, labels)
+    links = table(linked(done).unionByName(linked(verified(rest, texts))), "links")
+    labels = components(links, files, labels)
     # buckets whose members lie in different components: these were held against the hub only
     here = members.select("band", "bucket", "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     counts = here.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     # buckets with one main component are one group, so that a pair which meets in several bands is compared once
-    group = between.keep(here.join(mixed, ["band", "bucket"]).select("main", "doc", "label").distinct())
+    group = table(here.join(mixed, ["band", "bucket"]).select("main", "doc", "label").distinct(), "mixed")
     if not group.isEmpty():
         sizes = group.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         here = group.join(sizes, "main")
@@ -276,10 +259,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, first_bands: int = 4) -> Da
         sent = here.where("label <> main").select("main", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
         both = own.unionByName(sent.select(F.xxhash64("main", "k").alias("block"), F.lit(1).alias("order"), "doc", "label"))
         rows = both.join(texts.dropDuplicates(["doc"]), "doc").select("block", "order", "doc", "label", "text")
-        more = between.keep(in_blocks(rows.repartition("block").sortWithinPartitions("block", "order"), threshold))
+        more = table(in_blocks(rows.repartition("block").sortWithinPartitions("block", "order"), threshold), "more")
         if not more.isEmpty():
-            labels = components(links.unionByName(more.select("a", "b")), between, labels)
-    between.drop()
+            labels = components(links.unionByName(more.select("a", "b")), files + more.count() // 500_000, labels)
     copies = reps.select("key", F.col("doc").alias("copy_of"))
     found = signed.select("doc_id", "key").join(copies, "key", "left").withColumn("copy_of", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_of", "doc_id")))
     return found.join(labels.select(F.col("doc").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
