@@ -1,7 +1,8 @@
 """A corpus from documents to packed sequences: five stages, each over all that the one before kept.
 
 Every stage but the last returns rows with the columns of documents. A null or empty text has no letters and ends in
-the first stage. Columns beside those of documents are dropped.
+the first stage. Columns beside those of documents are dropped. Rows that share a doc_id are one document: a stage that rejects it rejects
+all of them, but of those that stay none with a text of its own is lost. Rows without a doc_id are never rejected by it.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ STAGES = [
     ("repeats", cut_repeats),
     ("packing", pack),
 ]
-#: SQL can express none of compression, tokens or suffix order; tests hold run() against a brute-force version.
+#: SQL can express none of compression, tokens or suffix order; tests/llm/test_pipeline.py holds the rows and texts of every stage, and the
+#: packed pieces of run(), against brute-force versions.
 ORACLE_SQL = None
 
 
