@@ -53,6 +53,10 @@ LEXICAL = {".py": PYTHON, ".go": GO, ".js": JAVASCRIPT, ".jsx": JAVASCRIPT, ".ts
 #: What a line of comment or documentation begins with.
 COMMENT = r"^\s*(#|//|/\*|\*|'''|\"\"\")|^\s*$"
 
+#: A line that begins with something else, and the white space before it where that is no comment at the line's start.
+OWN_LINE = r"(?md)^[ \t\r\f]*+(?!#|//|/\*|\*|'''|\"\"\")\S"
+INDENT = r"(?md)^(?!#|'''|\"\"\")([ \t]*)\S"
+
 #: Java reads a bare bracket or two ampersands in a class as an operator.
 GENERIC_JAVA = {k: p.replace("[\\w<>[\\]:,]", "[\\w<>\\[\\]:,]") for k, p in GENERIC.items()}
 
@@ -65,27 +69,21 @@ def _by_language(ext, of) -> Column:
     return found.otherwise(of(GENERIC_JAVA))
 
 
-def lexical_counts(code, patterns: dict[str, str] | None = None, ext=None) -> dict[str, Column]:
-    """Counts of constructs, by one table of patterns or by that of the extension; total_nodes adds the lines that are no comments."""
-    names = list(patterns or PYTHON)
-    found = {k: F.regexp_count(code, F.lit((patterns or PYTHON)[k])) if ext is None else _by_language(ext, lambda p, k=k: F.regexp_count(code, F.lit(p[k]))) for k in names}
-    found = {k: c.cast("long") for k, c in found.items()}
-    total = F.size(F.filter(F.split(code, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|//|/\*|\*|'''|\"\"\")"))).cast("long")
-    for c in found.values():
-        total = total + c
-    return found | {"total_nodes": F.when(F.trim(code) == "", F.lit(0)).otherwise(F.greatest(total, F.lit(1))).cast("long")}
+def lexical_counts(code, ext) -> dict[str, Column]:
+    """Counts of constructs by the extension's language."""
+    return {k: _by_language(ext, lambda p, k=k: F.regexp_count(code, F.lit(p[k]))).cast("long") for k in PYTHON}
 
 
 def indent_depth(code) -> Column:
     """Deepest indent in steps of four, plus one; comment and docstring lines don't count."""
-    fine = F.filter(F.split(code, "\n"), lambda x: (F.rtrim(x) != "") & ~x.rlike(r"^(#|'''|\"\"\")"))
-    widths = F.transform(fine, lambda x: F.length(x) - F.length(F.ltrim(x)))
+    widths = F.transform(F.regexp_extract_all(code, F.lit(INDENT), F.lit(1)), F.length)
     return F.greatest(F.floor(F.coalesce(F.array_max(widths), F.lit(0)) / 4) + 1, F.lit(1)).cast("long")
 
 
 def brace_depth(code) -> Column:
     """Deepest running balance of braces at line ends, plus one."""
-    deltas = F.transform(F.split(code, "\n"), lambda x: F.length(F.regexp_replace(x, r"[^{]", "")) - F.length(F.regexp_replace(x, r"[^}]", "")))
+    braces = F.split(F.regexp_replace(F.regexp_replace(code, r"[^{}\n]+", ""), r"\n+", "\n"), "\n")
+    deltas = F.transform(braces, lambda x: F.length(F.replace(x, F.lit("}"))) - F.length(F.replace(x, F.lit("{"))))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     step = lambda a, d: F.struct((a["now"] + d).alias("now"), F.greatest(a["most"], a["now"] + d).alias("most"))
     return F.greatest(F.aggregate(deltas, start, step)["most"] + 1, F.lit(1)).cast("long")
@@ -99,11 +97,13 @@ CENSUS = [*PYTHON, "total_nodes"]
 
 
 def census(files: DataFrame, code: str = "code", ext: str = "ext") -> DataFrame:
-    """files with success, counts and max_depth; a blank text has none of them."""
+    """files with success, counts, total_nodes (the counts and the lines that are no comments) and max_depth; a blank text has none of them."""
     text = F.coalesce(F.col(code), F.lit(""))
-    blank = F.trim(F.regexp_replace(text, r"\s", " ")) == ""
-    counts = lexical_counts(text, ext=F.col(ext)) | {"max_depth": depth(text, F.col(ext))}
-    return files.withColumns({"success": ~blank, **{k: F.when(blank, F.lit(0)).otherwise(c).cast("long") for k, c in counts.items()}})
+    blank = ~text.rlike(r"\S")
+    counts = lexical_counts(text, F.col(ext)) | {"max_depth": depth(text, F.col(ext)), "total_nodes": F.regexp_count(text, F.lit(OWN_LINE))}
+    found = files.withColumns({"success": ~blank, **{k: F.when(blank, F.lit(0)).otherwise(c).cast("long") for k, c in counts.items()}})
+    total = sum((F.col(k) for k in PYTHON), F.col("total_nodes"))  # from the columns, so that no pattern is searched for twice
+    return found.withColumn("total_nodes", F.when(F.col("success"), F.greatest(total, F.lit(1))).otherwise(0).cast("long"))
 
 
 def census_by(files: DataFrame, key: str) -> DataFrame:
