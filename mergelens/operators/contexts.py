@@ -15,7 +15,8 @@ TRACES = ["copilot", "chatgpt", "gpt", "claude", "cursor", "codex", "generated b
 DOCUMENTS = ["doc", "readme", "changelog", ".md", ".rst"]
 CLOSED_FOR = ["test", "documentation", "breaking", "wip", "refactor", "draft", "dependency", "bump", "fail", "bug", "fix", "feature"]
 POLICY = ["ai-generated", "ai policy", "no ai", "ban ai", "ai contribution", "generated code", "llm", "chatgpt", "copilot policy"]
-FORBIDDEN = ["is_merged", "merge_status", "merged_at", "closed_at", "review_decision", "merged_by", "merge_commit_sha"]
+FORBIDDEN = ["is_merged", "merge_status", "review_decision", "num_reviewers", "num_review_comments", "num_inline_comments", "review_comments_text"]
+SUSPICIOUS = ["review_decision:", "review_decision=", "num_reviewers:", "num_reviewers=", "num_review_comments:", "num_review_comments=", "merge_status:", "merge_status="]
 
 
 def lines_of(*parts) -> Column:
@@ -138,9 +139,9 @@ def combined(base_text, risks, policy, history, kind: str) -> Column:
 
 
 def leaks(context) -> Column:
-    """Forbidden names in a context, as fields or bare."""
-    low = F.lower(context)
-    return F.filter(signals.words(FORBIDDEN), lambda w: low.contains(w))
+    """Forbidden names in a context and patterns of fields with them, in any case of letters."""
+    low = F.lower(F.coalesce(context, F.lit("")))
+    return F.filter(signals.words(FORBIDDEN + SUSPICIOUS), lambda w: low.contains(w))
 
 
 def messages(rows: DataFrame, templates: DataFrame, context: str = "context", shots: str | None = None) -> DataFrame:

@@ -635,11 +635,6 @@ def rule_findings(spark, d):
     return rules.findings(rules.score(files.join(changes(spark, d), "pr_id"), F.col("files"), F.col("diff")), "pr_id")
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), 'is_merged|merge_status|merged_at|review_decision') AS leaks FROM documents")
-def leakage_lint(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.contains_any(F.col("text"), ["is_merged", "merge_status", "merged_at", "review_decision"]).alias("leaks"))
-
-
 @query("SELECT doc_id, 'Title: ' || substr(text, 1, 80) || chr(10) || 'Body: ' || substr(text, 81, 3000) || chr(10) || 'Repository: ' || source AS context FROM documents")
 def context_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("Title: "), F.substring("text", 1, 80)), F.concat(F.lit("Body: "), F.substring("text", 81, 3000)), F.concat(F.lit("Repository: "), "source")).alias("context"))

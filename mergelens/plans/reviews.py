@@ -551,6 +551,15 @@ def context_grid(spark, d):
     return rows.select("pr_id", F.explode(F.array(*[F.struct(F.lit(k).alias("context"), F.length(k).cast("long").alias("chars"), (F.length(k) > 10_000).alias("over"), (F.size(contexts.leaks(c(k))) > 0).alias("leaks")) for k in (f"C{i}" for i in range(1, 9))])).alias("x")).select("pr_id", "x.*")
 
 
+_NAMED = "text || CASE doc_id % 4 WHEN 0 THEN ' Merge_Status: open' WHEN 1 THEN ' num_reviewers of it' ELSE '' END"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({_words(contexts.FORBIDDEN + contexts.SUSPICIOUS)}, lambda w: contains(lower(coalesce({_NAMED}, '')), w)), ',') AS leaks FROM documents")
+def leakage_lint(spark, d):
+    named = F.concat(F.col("text"), F.when(F.col("doc_id") % 4 == 0, " Merge_Status: open").when(F.col("doc_id") % 4 == 1, " num_reviewers of it").otherwise(""))
+    return t(spark, d, "documents").select("doc_id", F.array_join(contexts.leaks(named), ",").alias("leaks"))
+
+
 @query("SELECT doc_id, prompt, CAST(length(system) AS BIGINT) AS system_chars, CAST(length(replace(u, '{context}', substr(text, 1, 300))) + CASE WHEN few THEN length('Example one') + 2 ELSE 0 END AS BIGINT) AS user_chars FROM documents, (VALUES ('P1', 'You review.', 'Look: {context}', false), ('P2', 'You review.', 'Look: {context} Now.', true)) v(prompt, system, u, few)")
 def prompt_messages(spark, d):
     templates = spark.createDataFrame([("P1", "You review.", "Look: {context}", False), ("P2", "You review.", "Look: {context} Now.", True)], "prompt string, system string, user string, few_shot boolean")
