@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from mergelens.storage import shared_dir
+
 U64 = np.uint64
 
 
@@ -18,17 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; where none is set, as in tests, a local one, but never on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="mergelens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def table(df: DataFrame, name: str, large: bool = False, narrow: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps no longer depend on how it was made. After a large one the driver
     collects its garbage, with which Spark deletes the shuffle files of what is done. Narrow rows, few bytes from many tasks,
