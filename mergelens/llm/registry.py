@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, licences, near, packing, quality, repeats, tokenfile, topk
+from . import bpe, fingerprint, language, licences, near, packing, pieces, quality, repeats, tokenfile, topk
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_near_duplicates": near.op8_near_duplicates,
     "op9_repeats": repeats.op9_repeats,
     "op10_language": language.op10_language,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
 }
 ORACLE = {"op2_topk": topk.ORACLE}
