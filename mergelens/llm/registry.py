@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, licences, near, packing, pieces, quality, repeats, tokenfile, topk
+from . import bpe, fingerprint, language, lexical, licences, near, packing, pieces, quality, repeats, tokenfile, topk
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_repeats": repeats.op9_repeats,
     "op10_language": language.op10_language,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_lexical": lexical.op12_lexical,
 }
-ORACLE = {"op2_topk": topk.ORACLE}
+ORACLE = {"op2_topk": topk.ORACLE, "op12_lexical": lexical.ORACLE}
