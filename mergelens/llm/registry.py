@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, lexical, licences, near, packing, pieces, quality, repeats, tokenfile, topk
+from . import bpe, collocations, fingerprint, language, lexical, licences, near, packing, pieces, quality, repeats, tokenfile, topk
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_language": language.op10_language,
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_lexical": lexical.op12_lexical,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLE = {"op2_topk": topk.ORACLE, "op12_lexical": lexical.ORACLE}
+ORACLE = {"op2_topk": topk.ORACLE, "op12_lexical": lexical.ORACLE, "op13_collocations": collocations.ORACLE}
