@@ -24,4 +24,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what `table` wrote for these frames, once nothing reads them any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_written", None)
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
