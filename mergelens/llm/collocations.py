@@ -6,8 +6,9 @@ bucket holds `least` and both its parts of one word less are frequent. Both fact
 whatever the corpus holds: one of the buckets with `least`, one of the hashes of the frequent phrases of the pass before. A shared bucket or hash only lets more
 through; counts are of the phrases themselves, so results do not depend on the hash.
 
-A task counts its buckets in one array, with one byte each, as no more than `least` <= 255 matters, and gives it out in blocks; blocks meet in two
-steps, so no group gets more than a share of the tasks' blocks. Exact counts are gathered by batch and once more before they are dealt out.
+A task counts its buckets in one array, with one byte each, as no more than `least` <= 255 matters, and gives it out in blocks that are
+compressed, so that a task gives out no more than a few bits for each phrase that it has seen, however many buckets there are; blocks meet in two
+steps, so no group gets more than a share of the tasks' blocks. A pass's counts are deleted when they are summed up. Exact counts are gathered by batch and once more before they are dealt out.
 
 Every language is counted by itself; a missing language is `und`. Null texts are empty. Repeated documents count as often as they are
 there; ties of scores go by count and by the bytes of the phrase. Other columns are not read. Arithmetic is that of decimals of 38 digits.
@@ -21,10 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergelens.operators.stats import per_group_cap
+from mergelens.storage import release
 
 from .common import U64, Memo, mapped, mix, read, slices, table
 from .words import cut, kinds
@@ -110,7 +113,15 @@ def given(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for i in range(0, len(counts), PART):
         block = counts[i : i + PART]
         if block.any():
-            yield i // PART, block.astype(np.uint8).tobytes()
+            yield i // PART, pack(block)
+
+
+def pack(block: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(block.astype(np.uint8).tobytes())
+
+
+def unpack(block: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
 
 
 COUNTED = "lang string, phrase string, a long, part int, slot int, buckets binary"
@@ -153,9 +164,9 @@ def _bitmap(blocks: DataFrame, buckets: int, least: int) -> np.ndarray:
             total = np.zeros(PART, np.uint16)
             for batch in batches:
                 for block in batch.column("buckets"):
-                    total = np.minimum(total + np.frombuffer(block.as_buffer(), np.uint8), least)
-            out = np.packbits(total >= least, bitorder="little") if whole else total.astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "buckets"])
+                    total = np.minimum(total + unpack(block.as_py()), least)
+            out = np.packbits(total >= least, bitorder="little").tobytes() if whole else pack(total)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.binary())], names=["part", "buckets"])
 
         return run
 
@@ -205,6 +216,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang: str = "lang", text:
         if k < LONGEST:
             heavy = spark.sparkContext.broadcast(_bitmap(counted.where("part is not null").select("part", "slot", "buckets"), buckets, least))
             known = spark.sparkContext.broadcast(_bitmap(_hashed(found[-1], buckets, least), buckets, least))
+        release(counted)
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.storage import shared_dir
+from mergelens import storage
 
 U64 = np.uint64
 
@@ -26,12 +25,11 @@ def table(df: DataFrame, name: str, large: bool = False, narrow: bool = False) -
     spark = df.sparkSession
     if narrow:
         df = df.hint("rebalance")
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    found = storage.table(df, name)
     for pause in (0.3, 0.2) if large else ():  # the first collection leaves what the last events still held
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
-    return spark.read.schema(df.schema).parquet(path)
+    return found
 
 
 def partitions(spark: SparkSession) -> int:
