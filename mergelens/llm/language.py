@@ -7,7 +7,7 @@ log P(l | page) = text likelihood + log P(declared | l) + log P(l | host), each
 * declared: how often each declared markup language stands with each language, from grouped sums of the text's
   own posteriors, smoothed;
 * host: posterior sums by host, smoothed towards its address suffix, which is smoothed towards all rows. A row's own
-  text is taken out of its host's sums, so that no evidence counts twice.
+  text is taken out of its host's sums and of its declaration's, so that no evidence counts twice.
 
 The n-gram model is fitted on about `sample` whole texts of each label, whatever their number (a bounded fit on labels, four times as many at
 most); every other figure covers all rows. Rows keep their place: null and empty texts have even text
@@ -74,16 +74,15 @@ class TextModel:
         return out
 
 
-def fit(docs: DataFrame, sample: int = 300, weight: float = 60.0, text: str = "text", label: str = "lang", key: str = "doc_id", chars: int | None = None) -> TextModel:
-    """N-grams of about `sample` rows of each label, four times as many at most; whole texts, or their first `chars` characters."""
+def fit(docs: DataFrame, sample: int = 300, weight: float = 60.0, text: str = "text", label: str = "lang", key: str = "doc_id") -> TextModel:
+    """N-grams of about `sample` rows of each label, four times as many at most, every text whole."""
     labelled = docs.withColumn("l", F.lower(F.trim(label))).where("l <> ''")
     counts = table(labelled.groupBy("l").agg(F.count("*").alias("n")), "labels")
     languages = sorted(r["l"] for r in counts.collect())
     if not languages:
         return TextModel([], np.zeros((256 + (2 << BITS) + 1, 0), np.float32), weight)
-    body = F.col(text) if chars is None else F.substring(text, 1, chars)
     draw = F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 30))
-    rows = labelled.where(F.col(text).isNotNull()).select("l", draw.alias("draw"), body.alias("t")).join(F.broadcast(counts), "l")
+    rows = labelled.where(F.col(text).isNotNull()).select("l", draw.alias("draw"), F.col(text).alias("t")).join(F.broadcast(counts), "l")
     rows = per_group_cap(rows.where(F.col("draw") <= F.least(F.lit(1.0), sample / F.col("n")) * (1 << 30)), "l", 4 * sample, "draw", "t").select("l", "t").collect()
     size = 256 + (2 << BITS) + 1
     seen = np.zeros((size, len(languages)))
@@ -166,13 +165,13 @@ def fuse(scored: DataFrame, model: TextModel, least: float = 0.5, by_suffix: flo
     base = F.array(*map(F.lit, prior))
     suffixes = suffixes.select("suffix", pack("s").alias("sums")).select("suffix", F.transform(F.arrays_zip(F.col("sums").alias("a"), base.alias("b")), lambda x: (x["a"] + by_suffix * x["b"]) / (n_of(F.col("sums")) + by_suffix)).alias("suffix_share"))
     hosts = hosts.select("host", "suffix", pack("s").alias("host_sums")).join(suffixes, "suffix")
-    declared = rows.groupBy("declared").agg(*sums)
-    kinds = F.lit(float(declared.count() + 1))
-    declared = declared.select("declared", F.transform(F.arrays_zip(pack("s").alias("a"), F.array(*map(F.lit, everywhere)).alias("b")), lambda x: F.log((x["a"] + by_declared) / (x["b"] + by_declared * kinds))).alias("declared_logs"))
-    full = join_hosts(rows, table(hosts, "hosts", narrow=True)).join(declared, "declared")
-    zipped = F.arrays_zip(F.col("likelihoods").alias("t"), F.col("own").alias("o"), F.col("host_sums").alias("h"), F.col("suffix_share").alias("s"), F.col("declared_logs").alias("d"))
+    declared = table(rows.groupBy("declared").agg(*sums).select("declared", pack("s").alias("declared_sums")), "declared", narrow=True)
+    kinds = float(declared.count() + 1)
+    full = join_known(join_known(rows, table(hosts, "hosts", narrow=True), ["host", "suffix"]), declared, ["declared"])
+    zipped = F.arrays_zip(F.col("likelihoods").alias("t"), F.col("own").alias("o"), F.col("host_sums").alias("h"), F.col("suffix_share").alias("s"), F.col("declared_sums").alias("d"), F.array(*map(F.lit, everywhere)).alias("e"))
     others = F.greatest(n_of(F.col("host_sums")) - 1.0, F.lit(0.0))
-    logs = F.transform(zipped, lambda x: x["t"] + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(x["d"]) + F.log((F.greatest(x["h"] - x["o"], F.lit(0.0)) + by_host * x["s"]) / (others + by_host)))
+    said = lambda x: F.log((F.greatest(x["d"] - x["o"], F.lit(0.0)) + by_declared) / (x["e"] - x["o"] + by_declared * kinds))  # noqa: E731  without the row itself
+    logs = F.transform(zipped, lambda x: x["t"] + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(said(x)) + F.log((F.greatest(x["h"] - x["o"], F.lit(0.0)) + by_host * x["s"]) / (others + by_host)))
     full = full.withColumn("logs", logs).withColumn("best", F.array_max("logs"))
     posterior = 1.0 / n_of(F.transform("logs", lambda x: F.exp(x - F.col("best"))))
     pick = lambda c, m: names[F.array_position(c, m).cast("int") - 1]
@@ -185,13 +184,13 @@ def fuse(scored: DataFrame, model: TextModel, least: float = 0.5, by_suffix: flo
     )
 
 
-def join_hosts(rows: DataFrame, hosts: DataFrame, most: int = 100_000, salts: int = 32) -> DataFrame:
-    """rows with what is known of their hosts. Up to `most` hosts are broadcast (some hundred bytes each); more are joined with salts, each host
-    being sent once for each, so that a host with a third of all rows meets them in many tasks."""
-    if hosts.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(hosts), ["host", "suffix"])
+def join_known(rows: DataFrame, known: DataFrame, keys: list[str], most: int = 100_000, salts: int = 32) -> DataFrame:
+    """rows with what is known of their keys, one row for each. Up to `most` are broadcast (some hundred bytes each); more are joined with salts, each
+    being sent once for each, so that a key with a third of all rows meets them in many tasks."""
+    if known.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(known), keys)
     salted = rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int"))
-    return salted.join(hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "suffix", "_salt"]).drop("_salt")
+    return salted.join(known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"]).drop("_salt")
 
 
 def host_of(url):
@@ -206,16 +205,16 @@ def declared_of(html):
     return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)), F.lit(""))
 
 
-def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = 300, chars: int | None = None, **options) -> DataFrame:
+def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = 300, **options) -> DataFrame:
     """page_id, host, suffix, declared, text_language, language, posterior, accepted of each page; docs (doc_id, text, lang) teach the text model."""
-    model = fit(docs, sample, chars=chars)
+    model = fit(docs, sample)
     rows = pages.select("page_id", host_of("url").alias("host"), declared_of("html").alias("declared"), F.col("html").cast("string").alias("html")).withColumn("suffix", suffix_of(F.col("host")))
     return fuse(table(score_text(rows, model, "html", True), "page-scores", narrow=True), model, **options)
 
 
-def identify_documents(docs: DataFrame, sample: int = 300, chars: int | None = None, **options) -> DataFrame:
+def identify_documents(docs: DataFrame, sample: int = 300, **options) -> DataFrame:
     """doc_id and findings of each document: its lang is the declared language, its source the host."""
-    model = fit(docs, sample, chars=chars)
+    model = fit(docs, sample)
     rows = docs.select("doc_id", F.col("source").alias("host"), F.lower(F.trim("lang")).alias("declared"), F.lit("").alias("suffix"), F.col("text").cast("string").alias("text"))
     return fuse(table(score_text(rows, model, "text", False), "document-scores", narrow=True), model, **options)
 

@@ -11,17 +11,19 @@ with one such hash make a segment, so segments cover every window once and are s
    document of each is to send its bytes, for some windows in them may still be equal.
 3. Documents meet their findings by shards of doc_id. Those with nothing open are finished.
 4. The open segments' bytes come sorted by smallest hash and are taken in chunks of some `CHUNK` bytes that end where the hash changes; each
-   is one text, in document order. Its suffixes are sorted by their first `length` bytes (prefix doubling from 8-byte
-   words, ties in text order), and its longest previous factors, capped at `length`, come from previous smaller documents in that order
-   (see previous_factors). A window repeats if its factor is as long as it.
-5. A smallest hash whose open segments exceed `WIDE` bytes (a passage that goes on in very many ways) is not gathered: its windows are
-   hashed one by one to 128 bits and meet the smallest document of equal ones by a combined aggregation and a join.
+   is one text, in document order. Its suffixes are sorted to their ends (prefix doubling from 8-byte words, ties in text order), and each one's longest
+   previous factor is the longer of its common prefixes with the previous and the next smaller document's suffix in that order (see
+   previous_factors). A window repeats if its factor is no shorter than it.
+5. A smallest hash whose open segments exceed `WIDE` bytes (a passage that goes on in very many ways) does not fit a chunk: its suffixes, cut
+   after `length` bytes, are ordered by a shuffle, and equal ones meet the smallest document among them, which is their previous smaller one.
 6. The open documents get the rest of their ranges and are finished.
 
 Buckets and shards are `FINE` times as many as shuffle partitions and are worked on one at a time, so memory is a fraction of a partition.
 
-Two segments are held equal if they share their bucket, 32 bits of the smallest hash and the 64-bit hash; what is not equal by these is
-compared byte by byte (in step 5 by 128 bits). Null and empty texts, and texts shorter than `length`, keep all. Rows without a doc_id
+Two segments are held equal if they share their bucket, 32 bits of the smallest hash and the 64-bit hash: of n different segments some two are
+mistaken with a probability of about n^2 / 2^97 (a bucket's number tells a bit or more). What a bucket finds is looked up by the document and the
+64-bit hash, both compared, so another segment is hit only if it has the hash of one of the same document. What shares a smallest hash but is not
+equal so is compared byte by byte. Null and empty texts, and texts shorter than `length`, keep all. Rows without a doc_id
 neither lose bytes nor make others lose any. Rows that repeat a doc_id are one document: none removes from the other. Extra columns are
 left out, but for those named in `keep`.
 """
@@ -263,6 +265,21 @@ def finished(doc, data: bytes, ranges, keep_text: bool, extra: str | None = None
     return FINISHED, doc, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, None, None, None, None, extra
 
 
+def looked_up(keys: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each (document, hash) stands among keys, which are in the order of their mixture, and whether it does: both are compared."""
+    key, docs, wholes = keys
+    mine = mix(whole + mix(doc.astype(U64)))
+    where = np.searchsorted(key, mine)
+    last = np.searchsorted(key, mine, side="right")
+    found = np.zeros(len(mine), bool)
+    while True:
+        at = np.flatnonzero(~found & (where < last))
+        if not len(at):
+            return np.minimum(where, max(len(key) - 1, 0)), found
+        found[at] = (docs[where[at]] == doc[at]) & (wholes[where[at]] == whole[at])
+        where[at[~found[at]]] += 1
+
+
 def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -> DataFrame:
     """rows: shard, first, docs, counts, whole, open (0 first) or shard, 1, doc_id, text. Finished documents, open documents, open segments' bytes."""
 
@@ -288,12 +305,12 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
 
     def index(parts):
         if not parts:
-            return np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, np.int64)
+            return (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)), np.zeros(0, bool), np.zeros(0, np.int64)
         docs, whole = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         opens = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
         key = mix(whole + mix(docs.astype(U64)))
-        order = np.argsort(key)
-        return key[order], opens[order], np.unique(docs)
+        order = np.lexsort((opens, key))
+        return (key[order], docs[order], whole[order]), opens[order], np.unique(docs)
 
     def settle(texts, keys, opens, flagged):
         if not texts:
@@ -306,9 +323,7 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
             return made
         flat, starts = flat_bytes([x[1] for x in some])
         owner, first, count, low, whole = segments(flat, starts, length)
-        key = mix(whole + mix(ids[hit][owner].astype(U64)))
-        where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        found = keys[where] == key
+        where, found = looked_up(keys, ids[hit][owner], whole)
         is_open = found & opens[where]
         low = low.view(np.int64)
         gone = found & ~is_open
@@ -330,48 +345,90 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
     return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").transform(mapped, run, DONE)
 
 
-def suffix_ranks(flat: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix by its first `length` bytes; equal ranks are equal strings."""
-    _, rank = np.unique(words(flat, big=True), return_inverse=True)
-    have, n = 8, len(flat)
-    while have < length:
-        step = min(have, length - have)
+def suffix_ranks(flat: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For 8, 16, 32, ... bytes the rank of each suffix by its first so many; a suffix ends with its text, of which it has `left` bytes.
+    Equal ranks are equal strings. The last ranks tell all suffixes apart but those that are equal to their ends."""
+    n = len(flat)
+    short = np.minimum(left, 8)
+    word = words(flat, big=True) & ~(U64(0xFFFFFFFFFFFFFFFF) >> (short.astype(U64) * U64(8)) if n else U64(0))
+    word[short == 8] = words(flat, big=True)[short == 8]
+    order = np.lexsort((short, word))
+    new = np.append(False, (word[order][1:] != word[order][:-1]) | (short[order][1:] != short[order][:-1]))[:n]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new)
+    levels, have, most = [(8, rank)], 8, int(left.max(initial=0))
+    while have < most and int(rank.max(initial=0)) < n - 1:
         other = np.zeros(n, np.int64)
-        other[: n - step] = rank[step:] + 1
+        on = np.flatnonzero(left > have)
+        other[on] = rank[on + have] + 1
         _, rank = np.unique(rank * (n + 2) + other, return_inverse=True)
-        have += step
-    return rank
+        have *= 2
+        levels.append((have, rank))
+    return levels
 
 
-def previous_smaller(document: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """Of each place the nearest before it with a smaller document, -1 for none; places are linked to the one before, and documents
-    never fall along links, so skipping equal ones by doubled steps finds it."""
-    before = np.where(linked, np.arange(-1, len(document) - 1), -1)
+def common_prefixes(levels: list[tuple[int, np.ndarray]], flat: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the longest common prefix of each two suffixes: from the longest level down, what agrees is stepped over."""
+    a, b, found = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    n = len(flat)
+    rest = np.append(left, 0)  # a place behind the last text has nothing left
+    for size, rank in reversed(levels):
+        alive = np.flatnonzero((rest[a] > 0) & (rest[b] > 0))
+        same = alive[rank[a[alive]] == rank[b[alive]]]
+        step = np.minimum(size, rest[a[same]])  # equal ranks: both are as short, or neither is
+        found[same] += step
+        done = (rest[a[same]] <= size) | (rest[b[same]] <= size)
+        a[same] += step
+        b[same] += step
+        a[same[done]] = b[same[done]] = n
+    alive = np.flatnonzero((rest[a] > 0) & (rest[b] > 0))
+    x, y = a[alive], b[alive]
+    on = np.ones(len(alive), bool)
+    for _ in range(7):
+        on &= (rest[x] > 0) & (rest[y] > 0)
+        on[on] = flat[x[on]] == flat[y[on]]
+        found[alive[on]] += 1
+        x, y = np.minimum(x + 1, n), np.minimum(y + 1, n)
+        ended = on & ((rest[x - 1] <= 1) | (rest[y - 1] <= 1))
+        on &= ~ended
+    return found
+
+
+def nearest_smaller(document: np.ndarray) -> np.ndarray:
+    """Of each place the nearest before it with a smaller document, -1 for none: what lies between a place and the one it points to is never smaller than its own, so
+    a place that points to one no smaller may point on to where that one points."""
+    before = np.arange(-1, len(document) - 1)
+    at = np.flatnonzero(before >= 0)
     while True:
-        at = np.flatnonzero(before >= 0)
-        at = at[document[before[at]] == document[at]]
+        at = at[document[before[at]] >= document[at]]
         if not len(at):
             return before
         before[at] = before[before[at]]
+        at = at[before[at] >= 0]
 
 
-def previous_factors(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in document order, one after another: where each begins; of each place the longest factor, capped at `length`, that also
-    starts in an earlier document (0 if shorter than the cap) and where.
+def previous_factors(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in document order, one after another: where each begins, with the end as last; of each place the length of the longest factor that
+    also starts in a text of a smaller document, and where it does (-1 for none).
 
-    In suffix order such a factor starts at the previous or the next place of a smaller document, whichever shares more. As ties stand
-    in text order, the next one never shares `length` bytes, and along the way to the previous one documents never fall.
+    Of all suffixes of smaller documents the nearest before and the nearest after a suffix in suffix order share most with it (its previous and
+    next smaller places), so its longest previous factor is the longer of the two common prefixes.
     """
     flat, starts = flat_bytes(texts)
-    rank = suffix_ranks(flat, length)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    at = np.flatnonzero(np.arange(len(flat)) + length <= starts[owner + 1])
-    order = at[np.argsort(rank[at], kind="stable")]  # suffix order, ties in text order
-    alike = np.append(False, rank[order][1:] == rank[order][:-1])[: len(order)]
-    before = previous_smaller(docs[owner[order]], alike)
-    factor, source = np.zeros(len(flat), np.int32), np.full(len(flat), -1)
-    hit = before >= 0
-    factor[order[hit]], source[order[hit]] = length, order[before[hit]]
+    n, sizes = len(flat), np.diff(starts)
+    left = np.repeat(starts[1:], sizes) - np.arange(n)
+    levels = suffix_ranks(flat, left)
+    order = np.argsort(levels[-1][1], kind="stable")  # ties in text order
+    document = np.repeat(docs, sizes)[order]
+    factor, source = np.zeros(n, np.int64), np.full(n, -1)
+    for turned in (False, True):
+        near = nearest_smaller(document[::-1] if turned else document)
+        near = np.where(near >= 0, n - 1 - near, -1)[::-1] if turned else near
+        hit = np.flatnonzero(near >= 0)
+        own, other = order[hit], order[near[hit]]
+        shared = common_prefixes(levels, flat, left, own, other)
+        more = shared > factor[own]
+        factor[own[more]], source[own[more]] = shared[more], other[more]
     return starts, factor, source
 
 
@@ -382,7 +439,7 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
 
     def find(rows):
         rows.sort(key=lambda r: (r[1], r[2]))
-        starts, factor, _ = previous_factors([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), length)
+        starts, factor, _ = previous_factors([r[3] for r in rows], np.array([r[1] for r in rows], np.int64))
         hits = np.flatnonzero(factor >= length)
         cuts = np.searchsorted(hits, starts)
         made = []
@@ -409,11 +466,9 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
             yield found
 
     def each_window(batches):
-        import xxhash
-
-        kind = pa.schema([("h", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64())])
+        kind = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64())])
         for batch in slices(batches, 3, CHUNK // 8):
-            made = [(xxhash.xxh3_128_digest(data[i : i + length]), doc, place + i) for _, doc, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i in range(len(data) - length + 1)]
+            made = [(data[i : i + length], doc, place + i) for _, doc, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i in range(len(data) - length + 1)]
             yield batch_of(kind, *map(list, zip(*made, strict=True)))
 
     rows = open_segments.select("low", "doc_id", "place", "ranges")
@@ -422,9 +477,9 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
         return rows.repartition(buckets // FINE, "low").sortWithinPartitions("low").transform(mapped, run, result)
     wide = table(wide, "wide")
     narrow = rows.join(wide, "low", "left_anti").select(rows.columns)
-    windows = table(rows.join(wide, "low", "left_semi").select(rows.columns).transform(mapped, each_window, "h binary, doc_id long, place long"), "windows")
-    first = windows.groupBy("h").agg(F.min("doc_id").alias("least"))
-    late = windows.join(first, "h").where("doc_id > least")
+    windows = table(rows.join(wide, "low", "left_semi").select(rows.columns).transform(mapped, each_window, "window binary, doc_id long, place long"), "windows")
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
+    late = windows.join(first, "window").where("doc_id > least")
 
     def as_ranges(batches):
         for batch in batches:

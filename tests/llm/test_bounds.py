@@ -85,18 +85,31 @@ def test_wide_groups_go_by_windows(spark, monkeypatch):
 
 
 def test_longest_previous_factors():
+    """Lengths and places against all pairs of suffixes."""
     r = random.Random(4)
-    for _ in range(200):
-        texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 90))).encode() for _ in range(r.randint(1, 6))]
-        docs, cap = np.sort(np.array([r.randint(0, 4) for _ in texts])), r.choice([8, 9, 11])
-        starts, factor, source = repeats.previous_factors(texts, docs, cap)
+    for _ in range(150):
+        letters = r.choice(["a", "ab", "\0a", "abc"])
+        texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 8, 9, 17, r.randint(0, 90)]))).encode() for _ in range(r.randint(1, 6))]
+        docs = np.sort(np.array([r.randint(0, 4) for _ in texts]))
+        starts, factor, source = repeats.previous_factors(texts, docs)
         flat = b"".join(texts)
         for i, t in enumerate(texts):
+            earlier = [texts[q] for q in range(len(texts)) if docs[q] < docs[i]]
             for j in range(len(t)):
-                window = t[j : j + cap]
-                known = len(window) == cap and any(window in texts[q] for q in range(len(texts)) if docs[q] < docs[i])
-                assert (factor[starts[i] + j] == cap) == known
-                assert not known or flat[source[starts[i] + j] :][:cap] == window
+                want = max((k for k in range(1, len(t) - j + 1) if any(t[j : j + k] in e for e in earlier)), default=0)
+                at = starts[i] + j
+                assert factor[at] == want and (not want or flat[source[at] : source[at] + want] == t[j : j + want])
+
+
+def test_findings_are_looked_up_by_document_and_hash():
+    """Keys that meet in the mixture but differ in document or hash are not taken for each other."""
+    mixed = np.array([5, 5, 5, 9], np.uint64)
+    docs, wholes = np.array([1, 2, 2, 3]), np.array([7, 7, 8, 1], np.uint64)
+    whole = np.array([8, 9], np.uint64)
+    real = repeats.mix(whole + repeats.mix(np.array([2, 2], np.int64).astype(np.uint64)))
+    keys = (np.sort(np.append(mixed, real[0])), *(np.append(x, y)[np.argsort(np.append(mixed, real[0]), kind="stable")] for x, y in ((docs, 2), (wholes, np.uint64(8)))))
+    where, found = repeats.looked_up(keys, np.array([2, 2]), whole)
+    assert found.tolist() == [True, False] and keys[1][where[0]] == 2 and keys[2][where[0]] == 8
 
 
 def test_markup():
@@ -111,5 +124,5 @@ def test_markup():
 def test_hosts_by_salts_equal_those_by_broadcast(spark):
     rows = spark.createDataFrame([(i, f"h{i % 3}", "s") for i in range(50)], "id int, host string, suffix string")
     hosts = spark.createDataFrame([(f"h{k}", "s", k) for k in range(3)], "host string, suffix string, n int")
-    found = [sorted((r.id, r.n) for r in language.join_hosts(rows, hosts, most).collect()) for most in (2, 10)]
+    found = [sorted((r.id, r.n) for r in language.join_known(rows, hosts, ["host", "suffix"], most).collect()) for most in (2, 10)]
     assert found[0] == found[1] == [(i, i % 3) for i in range(50)]
