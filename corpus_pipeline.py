@@ -1,8 +1,8 @@
 """A corpus from documents to packed sequences: five stages, each over all that the one before kept.
 
 Every stage but the last returns rows with the columns of documents. A null or empty text has no letters and ends in
-the first stage. Columns beside those of documents are dropped. Rows that share a doc_id are one document: a stage that rejects it rejects
-all of them, but of those that stay none with a text of its own is lost. Rows without a doc_id are never rejected by it.
+the first stage. Columns beside those of documents are dropped. Each row is judged by its own text: of rows that share a doc_id, or have none, a
+stage rejects only those that it finds wanting, as they are numbered for it. Equal rows are near-duplicates of each other.
 """
 
 from __future__ import annotations
@@ -14,19 +14,35 @@ from mergelens.llm import language as language_id
 from mergelens.llm import near, packing, quality, repeats
 from mergelens.llm.common import read, table
 from mergelens.llm.encoder import read_spec
+from mergelens.operators import ranks
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with doc_ids that no two rows share, and the ones they had as _own: rows whose id is missing or not theirs alone get the next free numbers, in the
+    order of their ids and texts."""
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("_own"))
+    again = table(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_again")), "repeated")
+    if again.isEmpty():
+        return rows
+    shared = F.col("doc_id").eqNullSafe(F.col("_again"))
+    free = rows.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("_free"))
+    placed = ranks.positions(rows.join(again, shared, "left_semi"), [F.asc_nulls_last("doc_id"), F.xxhash64("text"), "text"], "_place")
+    new = placed.crossJoin(F.broadcast(free)).withColumn("doc_id", F.col("_free") + 1 + F.col("_place")).select(rows.columns)
+    return rows.join(again, shared, "left_anti").unionByName(new)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those ids; rows without an id stay."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """numbered docs but for those ids, under their own ids again."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("doc_id", F.col("_own")).select(*COLUMNS)
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
-    found = language_id.identify_documents(docs)
-    return without(docs, found.where(~F.col("accepted"))).where(F.col("text") != "")
+    rows = numbered(docs)
+    found = language_id.identify_documents(rows)
+    return without(rows, found.where(~F.col("accepted"))).where(F.col("text") != "")
 
 
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +52,9 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id. Of rows that share that id each different text stays once."""
-    left = without(docs, near.classes(docs).where(F.col("doc_id") != F.col("class_id")))
-    again = table(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return left
-    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    each = left.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "text", "x.*")
-    return without(left, again).unionByName(each.select(*COLUMNS))
+    """One document of each group of near-duplicates: the smallest number."""
+    rows = numbered(docs)
+    return without(rows, near.classes(rows).where(F.col("doc_id") != F.col("class_id")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
