@@ -47,16 +47,16 @@ def language_brute(docs, spark):
         declared[(r[2] or "").strip().lower()] = declared[(r[2] or "").strip().lower()] + o
     everywhere = own.sum(axis=0) + 1
     suffix = (own.sum(axis=0) + 20 * everywhere / everywhere.sum()) / (own.sum() + 20)
-    rejected = set()
+    kept = []
     for r, o, s in zip(docs, own, scores, strict=True):
         host, said = hosts[r[3] or ""], (r[2] or "").strip().lower()
         logs = s + np.log((np.maximum(host - o, 0) + 10 * suffix) / (max(host.sum() - 1, 0) + 10))
         if said:
-            logs = logs + np.log((declared[said] + 1) / (everywhere + len(declared) + 1))
+            logs = logs + np.log((np.maximum(declared[said] - o, 0) + 1) / (everywhere - o + len(declared) + 1))
         sure = 1 / np.exp(logs - logs.max()).sum() >= 0.5
-        if not (any(c.isalpha() for c in r[1] or "") and sure):
-            rejected.add(r[0])
-    return [r for r in docs if (r[0] is None or r[0] not in rejected) and r[1]]
+        if r[1] and any(c.isalpha() for c in r[1]) and sure:
+            kept.append(r)
+    return kept
 
 
 def quality_brute(docs, spark):
@@ -72,30 +72,22 @@ def quality_brute(docs, spark):
 
 
 def near_brute(docs):
-    """Ids of later members of a component go with all their rows; of rows that share an id each different text stays once."""
-    sets, owner = {}, {}
-    for i, t, *_ in docs:
-        if i is None or not t.split():
-            continue
-        w = t.lower().split()
-        owner[" ".join(w)] = min(owner.get(" ".join(w), i), i)
-        sets[owner[" ".join(w)], " ".join(w)] = Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
-    nodes = {owner[w]: s for (_, w), s in sets.items()}
-    parent = {i: i for i in nodes}
+    """The first row of each component, rows whose id is missing or shared standing last: rows of the same words, or of a similarity of 0.8 or more, belong together."""
+    alone = {i for i, n in Counter(r[0] for r in docs).items() if n == 1 and i is not None}
+    rows = sorted(docs, key=lambda r: (r[0] not in alone, r[0] is None, r[0] or 0))
+    words = [r[1].lower().split() for r in rows]
+    sets = [Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in words]
+    parent = list(range(len(rows)))
 
     def root(i):
         return i if parent[i] == i else root(parent[i])
 
-    items = [(owner[w], s) for (_, w), s in sets.items()]
-    for k, (a, x) in enumerate(items):
-        for b, y in items[:k]:
-            if a != b and x.keys() & y.keys() and jaccard(x, y) >= 0.8:
-                p, q = sorted((root(a), root(b)))
+    for k in range(len(rows)):
+        for j in range(k):
+            if words[k] and (words[j] == words[k] or sets[j].keys() & sets[k].keys() and jaccard(sets[j], sets[k]) >= 0.8):
+                p, q = sorted((root(j), root(k)))
                 parent[q] = p
-    gone = {i for i, t, *_ in docs if i is not None and t.split() and root(owner[" ".join(t.lower().split())]) != i}
-    left = [r for r in docs if r[0] not in gone]
-    again = {i for i, n in Counter(r[0] for r in left).items() if i is not None and n > 1}
-    return [r for r in left if r[0] not in again] + [min((r for r in left if (r[0], r[1]) == k), key=lambda r: tuple((v is not None, v) for v in r[2:])) for k in {(r[0], r[1]) for r in left if r[0] in again}]
+    return [r for i, r in enumerate(rows) if root(i) == i]
 
 
 def repeats_brute(docs, n=50):
