@@ -28,28 +28,39 @@ NAMES = [
 ]
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value made once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def changed_files(diff) -> Column:
-    """array<struct<path, added array<string>>> in order of first mention: a fold over the diff's lines in which both a "diff --git" line
-    and a "+++ b/" line set the file that added lines belong to."""
-    kind = "struct<at int, files array<struct<path string, added array<string>>>>"
-    start = F.lit(None).cast("struct<path string, added array<string>>")
-    empty = F.struct(F.lit(-1).alias("at"), F.array_compact(F.array(start)).alias("files")).cast(kind)
-
-    def opened(state, path):
-        known = F.array_position(F.transform(state["files"], lambda f: f["path"]), path).cast("int") - 1
-        new = F.struct(path.alias("path"), F.array().cast("array<string>").alias("added"))
-        return F.struct(F.when(known >= 0, known).otherwise(F.size(state["files"])).cast("int").alias("at"), F.when(known >= 0, state["files"]).otherwise(F.concat(state["files"], F.array(new))).alias("files")).cast(kind)
-
-    def grown(state, line):
-        files = F.transform(state["files"], lambda f, i: F.when(i == state["at"], F.struct(f["path"].alias("path"), F.concat(f["added"], F.array(line)).alias("added"))).otherwise(f))
-        return F.struct(state["at"].alias("at"), files.alias("files")).cast(kind)
-
-    def step(state, line):
-        header, target = F.regexp_extract(line, r"^diff --git a/(.+) b/(.+)$", 2), line.startswith("+++ b/")
-        return F.when(header != "", opened(state, header)).when(target, opened(state, F.substring(line, 7, 1 << 30))).when((state["at"] >= 0) & line.startswith("+") & ~line.startswith("+++"), grown(state, F.substring(line, 2, 1 << 30))).otherwise(state)
-
-    telling = F.filter(diffs.lines(diff), lambda x: x.rlike(r"^(\+|diff --git )"))
-    return F.aggregate(telling, empty, step)["files"]
+    """array<struct<path, added array<string>>> in order of first mention: both a "diff --git" line and a "+++ b/" line set the file that the added
+    lines after it belong to. The lines between two such headers are one slice, so time is linear in the diff's lines; only where a path comes back
+    after another, slices are gathered by path."""
+    header = lambda x: F.regexp_extract(x, r"^diff --git a/(.+) b/(.+)$", 2)
+    path = lambda x: F.when(x.startswith("+++ b/"), F.substring(x, 7, 1 << 30)).when(x.startswith("diff --git "), F.nullif(header(x), F.lit("")))
+    telling = F.filter(diffs.lines(diff), lambda x: x.startswith("+++ b/") | x.rlike("^diff --git a/.+ b/.+$") | (x.startswith("+") & ~x.startswith("+++")))
+
+    def cut(lines, paths, heads):
+        def block(at, k):
+            end = F.coalesce(F.get(heads, k + 1), F.size(lines))
+            added = F.transform(F.slice(lines, at + 2, end - at - 1), lambda x: F.substring(x, 2, 1 << 30))
+            return F.struct(F.get(paths, at).alias("path"), added.alias("added"))
+
+        return F.transform(heads, block)
+
+    def gathered(blocks):
+        names = F.array_distinct(F.transform(blocks, lambda b: b["path"]))
+        each = F.transform(names, lambda n: F.struct(n.alias("path"), F.flatten(F.transform(F.filter(blocks, lambda b: b["path"] == n), lambda b: b["added"])).alias("added")))
+        return F.when(F.size(names) == F.size(blocks), blocks).otherwise(each)
+
+    def without_doubles(blocks):
+        """A header without lines before one of the same file says nothing."""
+        return F.filter(blocks, lambda b, k: (F.size(b["added"]) > 0) | ~F.coalesce(F.get(blocks, k + 1)["path"] == b["path"], F.lit(False)))
+
+    places = lambda paths: F.filter(F.transform(paths, lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
+    blocks = _let(telling, lambda lines: _let(F.transform(lines, path), lambda paths: _let(places(paths), lambda heads: cut(lines, paths, heads))))
+    return _let(_let(blocks, without_doubles), gathered)
 
 
 def features(changes: DataFrame, threshold: float, key: str = "pr_id", diff: str = "diff") -> DataFrame:

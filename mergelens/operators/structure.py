@@ -149,17 +149,29 @@ _READY = {e: [(n, re.compile(p)) for n, p in rules] for e, rules in (FLOWS | {""
 _COMMENT = re.compile(COMMENT)
 
 
-def classified(lines: list[str], ext: str) -> list[tuple[str, int]]:
-    """Class and level of each line that is no comment. A block's head has the level at which it opens, by white space in Python and
+#: The class and level of lines seen so far by extension, up to so many in all; code repeats its lines a lot.
+_SEEN: dict[str, dict[str, tuple[str, int] | None]] = {}
+LINES_KEPT = 200_000
+
+
+def classified_line(line: str, ext: str) -> tuple[str, int] | None:
+    """Class and level of a line, None for a comment. A block's head has the level at which it opens, by white space in Python and
     by its own braces elsewhere; all other lines have their white space."""
-    rules, found = _READY.get(ext, _READY[""]), []
-    for line in lines:
-        if _COMMENT.match(line):
-            continue
-        name = next((n for n, r in rules if r.match(line)), "statement")
-        head = name in ("branch", "else", "loop", "exception")
-        found.append((name, line.count("{") - line.count("}") if head and ext != ".py" else len(line) - len(line.lstrip())))
-    return found
+    if _COMMENT.match(line):
+        return None
+    name = next((n for n, r in _READY.get(ext, _READY[""]) if r.match(line)), "statement")
+    head = name in ("branch", "else", "loop", "exception")
+    return name, line.count("{") - line.count("}") if head and ext != ".py" else len(line) - len(line.lstrip())
+
+
+def classified(lines: list[str], ext: str) -> list[tuple[str, int]]:
+    """Class and level of each line that is no comment; a line that was seen before is looked up."""
+    if sum(map(len, _SEEN.values())) > LINES_KEPT:
+        _SEEN.clear()
+    seen = _SEEN.setdefault(ext if ext in FLOWS else "", {})
+    for line in set(lines).difference(seen):
+        seen[line] = classified_line(line, ext)
+    return [x for x in map(seen.__getitem__, lines) if x is not None]
 
 
 def flow_features(code_lines: list[str], ext: str = ".py") -> tuple:
