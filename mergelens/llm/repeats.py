@@ -345,23 +345,33 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
     return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").transform(mapped, run, DONE)
 
 
-def suffix_ranks(flat: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def suffix_ranks(flat: np.ndarray, left: np.ndarray, least: int = 1) -> list[tuple[int, np.ndarray]]:
     """For 8, 16, 32, ... bytes the rank of each suffix by its first so many; a suffix ends with its text, of which it has `left` bytes.
-    Equal ranks are equal strings. The last ranks tell all suffixes apart but those that are equal to their ends."""
-    n = len(flat)
+    Equal ranks are equal strings. The last ranks tell all suffixes apart but those that are equal to their ends; they are made only for
+    suffixes of `least` bytes or more, -1 for others."""
+    n, most = len(flat), int(left.max(initial=0))
     short = np.minimum(left, 8)
-    word = words(flat, big=True) & ~(U64(0xFFFFFFFFFFFFFFFF) >> (short.astype(U64) * U64(8)) if n else U64(0))
-    word[short == 8] = words(flat, big=True)[short == 8]
-    order = np.lexsort((short, word))
-    new = np.append(False, (word[order][1:] != word[order][:-1]) | (short[order][1:] != short[order][:-1]))[:n]
+    word = words(flat, big=True)
+    ends = np.flatnonzero(short < 8)
+    word[ends] &= ~(U64(0xFFFFFFFFFFFFFFFF) >> (short[ends].astype(U64) * U64(8)))
+    if n and not flat.min():  # a zero byte is not the end of a text
+        order = np.lexsort((short, word))
+        new = np.append(False, (word[order][1:] != word[order][:-1]) | (short[order][1:] != short[order][:-1]))[:n]
+    else:
+        order = np.argsort(word)
+        new = np.append(False, word[order][1:] != word[order][:-1])[:n]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(new)
-    levels, have, most = [(8, rank)], 8, int(left.max(initial=0))
+    levels, have = [(8, rank)], 8
     while have < most and int(rank.max(initial=0)) < n - 1:
-        other = np.zeros(n, np.int64)
-        on = np.flatnonzero(left > have)
-        other[on] = rank[on + have] + 1
-        _, rank = np.unique(rank * (n + 2) + other, return_inverse=True)
+        at = np.flatnonzero(left >= least) if 2 * have >= most else np.arange(n)
+        on = at[left[at] > have]
+        key = rank * (n + 2)
+        key[on] += rank[on + have] + 1
+        key = key[at]
+        order = np.argsort(key)
+        rank = np.full(n, -1)
+        rank[at[order]] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1])[: len(at)])
         have *= 2
         levels.append((have, rank))
     return levels
@@ -371,27 +381,21 @@ def common_prefixes(levels: list[tuple[int, np.ndarray]], flat: np.ndarray, left
     """The length of the longest common prefix of each two suffixes: from the longest level down, what agrees is stepped over."""
     a, b, found = a.copy(), b.copy(), np.zeros(len(a), np.int64)
     n = len(flat)
-    rest = np.append(left, 0)  # a place behind the last text has nothing left
+    rest = np.append(left, 0)  # a place behind the last text has nothing left, and its rank is that of no suffix
     for size, rank in reversed(levels):
-        alive = np.flatnonzero((rest[a] > 0) & (rest[b] > 0))
-        same = alive[rank[a[alive]] == rank[b[alive]]]
-        step = np.minimum(size, rest[a[same]])  # equal ranks: both are as short, or neither is
+        rank = np.append(rank, -1)
+        x = rank[a]
+        same = np.flatnonzero((x == rank[b]) & (x >= 0))
+        own, other = rest[a[same]], rest[b[same]]
+        step = np.minimum(size, own)  # equal ranks: both are as short, or neither is
         found[same] += step
-        done = (rest[a[same]] <= size) | (rest[b[same]] <= size)
-        a[same] += step
-        b[same] += step
-        a[same[done]] = b[same[done]] = n
-    alive = np.flatnonzero((rest[a] > 0) & (rest[b] > 0))
-    x, y = a[alive], b[alive]
-    on = np.ones(len(alive), bool)
-    for _ in range(7):
-        on &= (rest[x] > 0) & (rest[y] > 0)
-        on[on] = flat[x[on]] == flat[y[on]]
-        found[alive[on]] += 1
-        x, y = np.minimum(x + 1, n), np.minimum(y + 1, n)
-        ended = on & ((rest[x - 1] <= 1) | (rest[y - 1] <= 1))
-        on &= ~ended
-    return found
+        done = (own <= size) | (other <= size)
+        a[same] = np.where(done, n, a[same] + step)
+        b[same] = np.where(done, n, b[same] + step)
+    word = np.append(words(flat, big=True), U64(0))  # fewer than eight bytes are still alike
+    differ = word[a] ^ word[b]
+    alike = sum((differ < (U64(1) << U64(64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+    return found + np.minimum(alike, np.minimum(rest[a], rest[b]))
 
 
 def nearest_smaller(document: np.ndarray) -> np.ndarray:
@@ -407,9 +411,10 @@ def nearest_smaller(document: np.ndarray) -> np.ndarray:
         at = at[before[at] >= 0]
 
 
-def previous_factors(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def previous_factors(texts: list[bytes], docs: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts in document order, one after another: where each begins, with the end as last; of each place the length of the longest factor that
-    also starts in a text of a smaller document, and where it does (-1 for none).
+    also starts in a text of a smaller document, and where it does (0 and -1 for none). Factors of fewer than `least` bytes are told as such or as
+    none, since suffixes that are shorter take no part.
 
     Of all suffixes of smaller documents the nearest before and the nearest after a suffix in suffix order share most with it (its previous and
     next smaller places), so its longest previous factor is the longer of the two common prefixes.
@@ -417,13 +422,14 @@ def previous_factors(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     flat, starts = flat_bytes(texts)
     n, sizes = len(flat), np.diff(starts)
     left = np.repeat(starts[1:], sizes) - np.arange(n)
-    levels = suffix_ranks(flat, left)
-    order = np.argsort(levels[-1][1], kind="stable")  # ties in text order
-    document = np.repeat(docs, sizes)[order]
+    levels = suffix_ranks(flat, left, least)
+    order = np.flatnonzero(left >= least)
+    order = order[np.argsort(levels[-1][1][order], kind="stable")]  # ties in text order
+    m, document = len(order), np.repeat(docs, sizes)[order]
     factor, source = np.zeros(n, np.int64), np.full(n, -1)
     for turned in (False, True):
         near = nearest_smaller(document[::-1] if turned else document)
-        near = np.where(near >= 0, n - 1 - near, -1)[::-1] if turned else near
+        near = np.where(near >= 0, m - 1 - near, -1)[::-1] if turned else near
         hit = np.flatnonzero(near >= 0)
         own, other = order[hit], order[near[hit]]
         shared = common_prefixes(levels, flat, left, own, other)
@@ -439,7 +445,7 @@ def resolve(open_segments: DataFrame, length: int, buckets: int, shards: int) ->
 
     def find(rows):
         rows.sort(key=lambda r: (r[1], r[2]))
-        starts, factor, _ = previous_factors([r[3] for r in rows], np.array([r[1] for r in rows], np.int64))
+        starts, factor, _ = previous_factors([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), length)
         hits = np.flatnonzero(factor >= length)
         cuts = np.searchsorted(hits, starts)
         made = []

@@ -91,14 +91,16 @@ def test_longest_previous_factors():
         letters = r.choice(["a", "ab", "\0a", "abc"])
         texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 8, 9, 17, r.randint(0, 90)]))).encode() for _ in range(r.randint(1, 6))]
         docs = np.sort(np.array([r.randint(0, 4) for _ in texts]))
-        starts, factor, source = repeats.previous_factors(texts, docs)
+        least = r.choice([1, 1, 7, 8, 20])
+        starts, factor, source = repeats.previous_factors(texts, docs, least)
         flat = b"".join(texts)
         for i, t in enumerate(texts):
             earlier = [texts[q] for q in range(len(texts)) if docs[q] < docs[i]]
             for j in range(len(t)):
                 want = max((k for k in range(1, len(t) - j + 1) if any(t[j : j + k] in e for e in earlier)), default=0)
                 at = starts[i] + j
-                assert factor[at] == want and (not want or flat[source[at] : source[at] + want] == t[j : j + want])
+                assert factor[at] == want or max(factor[at], want) < least
+                assert flat[source[at] : source[at] + factor[at]] == t[j : j + factor[at]]
 
 
 def test_findings_are_looked_up_by_document_and_hash():
