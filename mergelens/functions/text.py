@@ -104,3 +104,11 @@ def strict_merged(c) -> Column:
 def ngrams(tokens, n: int) -> Column:
     size = F.size(tokens)
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def link_relations(header) -> Column:
+    """Addresses by relation of a Link header; of two with one relation the last. No header has none."""
+    form = F.lit(r'<([^>]+)>;\s*rel="([^"]+)"')
+    urls, names = (F.regexp_extract_all(F.coalesce(header, F.lit("")), form, F.lit(i)) for i in (1, 2))
+    last = F.filter(F.arrays_zip(names.alias("k"), urls.alias("v")), lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names) + 1), x["k"]))
+    return F.map_from_entries(last)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergelens.functions import paths, signals, text
+from mergelens.operators.neighbours import similar
 
 # Budgets in characters and tokens, key words.
 DIFF, BODY, COMMITS, ADDED = 8000, 3000, 1500, 6000
 TOKENS, RESERVED = 14_000, 2_000
+TEMPLATES = 1000
 CORE = ["public", "api", "export", "interface", "abstract", "core", "main", "init", "index"]
 TRACES = ["copilot", "chatgpt", "gpt", "claude", "cursor", "codex", "generated by", "ai-generated", "code agent", "deepseek", "qwen", "generated with", "co-authored-by: copilot"]
 DOCUMENTS = ["doc", "readme", "changelog", ".md", ".rst"]
@@ -63,8 +65,11 @@ def base(kind: str = "C4") -> Column:
     return lines_of(*parts)
 
 
-def checklist(files, title, body, additions, commits) -> Column:
-    """Observed risks and neutral facts; the outcome is not among them."""
+def checklist(files, title, body, additions, commits, flagged=None, patches=None) -> Column:
+    """Observed risks and neutral facts; the outcome is not among them. In words of its own, so prompts are not comparable with published runs.
+
+    patches: array of whole patches, in which changes of the interface are looked for; without them the added lines. flagged: whether
+    the change counts as generated code."""
     names = F.transform(files, lambda f: f["path"])
     n, tests = F.size(files), F.size(F.filter(names, paths.is_test_part))
     first = lambda a: F.array_join(F.slice(a, 1, 3), ", ")
@@ -73,7 +78,7 @@ def checklist(files, title, body, additions, commits) -> Column:
     whole = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
     traces = F.filter(signals.words(TRACES), lambda w: whole.contains(w))
     documents = F.filter(names, lambda x: F.lower(x).rlike(r"doc|readme|changelog|\.md|\.rst"))
-    api = F.exists(files, lambda f: F.coalesce(f["added"], F.lit("")).rlike("public|export"))
+    api = F.exists(F.transform(files, lambda f: f["added"]) if patches is None else patches, lambda p: F.coalesce(p, F.lit("")).rlike("public|export"))
     length = F.length(F.coalesce(body, F.lit("")))
     risks = F.array_compact(F.array(
         F.when(tests == 0, "MISSING_TESTS: no test files"),
@@ -91,6 +96,7 @@ def checklist(files, title, body, additions, commits) -> Column:
         F.when(additions <= 200, said("Small additions: +%d lines", additions)).when(additions <= 500, said("Moderate additions: +%d lines", additions)),
         F.when((length >= 100) & (length < 300), "Short description: under 300 characters"),
         F.when(F.lower(F.coalesce(commits, F.lit(""))).rlike("generated|copilot|ai"), "Commit messages hold signs of generated code"),
+        F.when(F.lit(False) if flagged is None else flagged, "Flagged as generated code"),
     ))
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")
     return lines_of("## Risk Checklist", "### Risk Signals", F.when(F.size(risks) > 0, listed(risks)).otherwise("- No obvious risk signals."), F.when(F.size(facts) > 0, F.concat(F.lit("### Neutral Observations\n"), listed(facts))))
@@ -111,7 +117,8 @@ def policy_figures(rows: DataFrame, group: str = "repo", key: str = "pr_id") ->
 
 
 def policy_text(repo, others, merge_rate, review_ratio, review_length, closed_for, policy_signs) -> Column:
-    percent = lambda c: F.format_string("%.1f%%", 100 * c)
+    """The repository's habits in words of its own; shares are rounded half up."""
+    percent = lambda c: F.format_string("%.1f%%", F.round(100 * c, 1))
     found = lines_of(
         "## Repository Policy", F.concat(F.lit("Repository: "), repo), said("Earlier requests here, without this one: %d", others), F.concat(F.lit("Merge rate: "), percent(merge_rate)), F.concat(F.lit("With review comments: "), percent(review_ratio)),
         F.when(closed_for != "", F.concat(F.lit("Common in unmerged requests: "), closed_for)), F.when(policy_signs, "Generated code has been a matter of discussion here."), said("Average review length: %.0f characters", review_length),
@@ -120,9 +127,29 @@ def policy_text(repo, others, merge_rate, review_ratio, review_length, closed_fo
     return F.when(others > 0, found).otherwise("## Repository Policy\nNo history of this repository.")
 
 
+def histories(rows: DataFrame, queries: DataFrame, key: str = "pr_id", k: int = 3) -> DataFrame:
+    """key of each query and `neighbours`, the k most similar of all other rows by rank, as `history_text` takes them; an empty array without any.
+
+    rows and queries: key (unique), repo, num_files, total_additions, total_deletions, title, merged (boolean), review. The texts are joined to the k
+    neighbours found, so none takes part in the search."""
+    sized = lambda df: df.withColumn("_words", text.lower_tokens(F.col("title")))
+    found = similar(sized(rows), sized(queries), key, "repo", "num_files", "total_additions", "_words", k)
+    told = rows.select(F.col(key).alias("similar"), "title", "repo", F.col("num_files").alias("files"), F.col("total_additions").alias("additions"), F.col("total_deletions").alias("deletions"), "merged", "review")
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "similar", "score", "title", "repo", "files", "additions", "deletions", "merged", "review")))
+    whole = found.join(told, "similar").groupBy(key).agg(ordered.alias("x"))
+    named = F.transform("x", lambda x, i: F.struct((i + 1).alias("rank"), *[x[c].alias(c) for c in ("score", "title", "repo", "files", "additions", "deletions", "merged", "review")]))
+    each = queries.select(key).join(whole.select(key, named.alias("neighbours")), key, "left")
+    return each.withColumn("neighbours", F.coalesce("neighbours", F.array().cast(whole.select(named.alias("n")).schema["n"].dataType)))
+
+
 def history_text(neighbours) -> Column:
-    """neighbours: array<struct<rank, score, title, repo, merged, review>> by rank."""
-    each = F.transform(neighbours, lambda x: lines_of(said("### Similar request %d (score %.1f)", x["rank"], x["score"]), F.concat(F.lit("- Title: "), F.substring(x["title"], 1, 150)), F.concat(F.lit("- Repository: "), x["repo"]), F.concat(F.lit("- Outcome: "), F.when(x["merged"], "merged").otherwise("not_merged")), F.when(F.trim(F.coalesce(x["review"], F.lit(""))) != "", F.concat(F.lit("- Review: "), F.substring(x["review"], 1, 200)))))
+    """neighbours: array<struct<rank, score, title, repo, files, additions, deletions, merged, review>> by rank. Titles are cut to 150 characters,
+    reviews to 200; scores are rounded half up to one digit. In words of its own."""
+    each = F.transform(neighbours, lambda x: lines_of(
+        said("### Similar request %d (score %.1f)", x["rank"], F.round(x["score"], 1)), F.concat(F.lit("- Title: "), F.substring(x["title"], 1, 150)), F.concat(F.lit("- Repository: "), x["repo"]),
+        said("- Files: %d, lines: +%d -%d", x["files"], x["additions"], x["deletions"]), F.concat(F.lit("- Outcome: "), F.when(x["merged"], "merged").otherwise("not_merged")),
+        F.when(F.trim(F.coalesce(x["review"], F.lit(""))) != "", F.concat(F.lit("- Review: "), F.substring(x["review"], 1, 200))),
+    ))
     return F.when(F.size(neighbours) > 0, F.concat(F.lit("## Similar History\n"), F.array_join(each, "\n\n"))).otherwise("## Similar History\nNo other requests.")
 
 
@@ -146,8 +173,11 @@ def leaks(context) -> Column:
 
 def messages(rows: DataFrame, templates: DataFrame, context: str = "context", shots: str | None = None) -> DataFrame:
     """One row per request and template (prompt, system, user with a place {context}, few_shot boolean): messages of role and content.
-    templates are a handful of rows; examples go only into prompts that take them."""
-    joined = rows.join(F.broadcast(templates.limit(64)))
+    More than `TEMPLATES` templates are an error, none is left out; examples go only into prompts that take them."""
+    found = templates.limit(TEMPLATES + 1).collect()
+    if len(found) > TEMPLATES:
+        raise ValueError(f"more than {TEMPLATES} templates")
+    joined = rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, templates.schema)))
     examples = F.when(F.col("few_shot"), F.concat(F.col(shots), F.lit("\n\n"))).otherwise("") if shots else F.lit("")
     user = F.concat(examples, F.replace("user", F.lit("{context}"), F.col(context)))
     return joined.withColumn("messages", F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))))

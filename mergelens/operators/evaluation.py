@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergelens.functions import signals, text
-from mergelens.operators import metrics
+from mergelens.operators import metrics, ranks
 
 # Words of advice and of detail.
 ACTION = [
@@ -103,8 +103,8 @@ def compared(baseline: DataFrame, improved: DataFrame, fixed: str, columns: list
 
 
 def warm_times(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Median and 95th percentile of a group's timings without its first run."""
-    late = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where("_r > 1")
-    ordered = F.array_sort(F.collect_list(value))
-    at = F.least(F.floor(F.size("v") * 0.95).cast("int"), F.size("v") - 1) + 1
-    return late.groupBy(group).agg(ordered.alias("v")).select(group, F.size("v").cast("long").alias("runs"), F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median"), F.element_at("v", at.cast("int")).alias("p95"))
+    """Median and 95th percentile of a group's timings without its first run, selected by running counts; null timings do not count."""
+    late = ranks.running(rows.select(group, order, value), [group], [order], {"one": F.lit(1)}).where("before_one > 0")
+    found, n = ranks.counted(late, [group], value), F.col("all_n")
+    at = F.least(F.floor(n * 0.95), n - 1)
+    return found.groupBy(group).agg(F.max(n).alias("runs"), ranks.standing(F.floor(n / 2)).alias("median"), ranks.standing(at).alias("p95"))

@@ -1,10 +1,12 @@
-"""Classification metrics by group: one aggregate or window each, nothing on the driver."""
+"""Classification metrics by group: aggregates, and running sums over the distinct scores that no task has to hold for a whole group."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergelens.operators import ranks
+
 
 def ratio(a, b) -> Column:
     """a / b as a double, 0 where b is 0."""
@@ -27,28 +29,29 @@ def rates(counts: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, by: list[str], label: str = "label", score: str = "score", null_as_half: bool = False) -> DataFrame:
-    """By mid-ranks over the distinct scores, which are few to rank; null where a group has one class only."""
+    """By mid-ranks over the distinct scores; null where a group has one class only."""
     s = F.coalesce(score, F.lit(0.5)) if null_as_half else F.col(score)
     bins = rows.select(*by, s.alias("s"), F.col(label).alias("y")).where("s is not null").groupBy(*by, "s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bins.withColumn("mid", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = ranks.running(bins, by, ["s"], {"n": F.col("n")}).withColumn("mid", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"), F.sum(F.col("mid") * F.col("p")).alias("ranks"))
     return sums.select(*by, F.round(F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")), 6).alias("roc_auc"))
 
 
-def roc_points(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
+def _thresholds(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """by, threshold, p and n of each distinct score, with their sums over the higher ones and over the group."""
     bins = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    q = F.col("n") - F.col("p")
-    return bins.select(*by, "threshold", F.round(ratio(F.sum("p").over(w), F.sum("p").over(whole)), 6).alias("tpr"), F.round(ratio(F.sum(q).over(w), F.sum(q).over(whole)), 6).alias("fpr"))
+    return ranks.running(bins, by, [F.desc("threshold")], {"p": F.col("p"), "n": F.col("n")})
+
+
+def roc_points(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    p, n = F.col("before_p") + F.col("p"), F.col("before_n") + F.col("n")
+    return _thresholds(rows, by, label, score).select(*by, "threshold", F.round(ratio(p, F.col("all_p")), 6).alias("tpr"), F.round(ratio(n - p, F.col("all_n") - F.col("all_p")), 6).alias("fpr"))
 
 
 def pr_auc(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Average precision over distinct scores."""
-    bins = rows.groupBy(*by, score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = bins.select(*by, "p", ratio(F.sum("p").over(w), F.sum("n").over(w)).alias("precision"))
+    p, n = F.col("before_p") + F.col("p"), F.col("before_n") + F.col("n")
+    steps = _thresholds(rows, by, label, score).select(*by, "p", ratio(p, n).alias("precision"))
     return steps.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p").cast("double")), 6).alias("pr_auc"))
 
 

@@ -17,6 +17,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergelens.operators import ranks
+
 
 def weighted(rows: DataFrame, label: str = "label") -> DataFrame:
     """Each class has half of all weight."""
@@ -27,7 +29,7 @@ def weighted(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def winsorize(rows: DataFrame, columns: list[str], train: Column, quantile: float = 0.99) -> DataFrame:
     """Columns cut at the upper quantile of the train rows; one row of bounds is broadcast."""
-    bounds = rows.where(train).agg(*[F.percentile(c, F.lit(quantile)).alias(f"_{c}") for c in columns])
+    bounds = ranks.bounds(rows.where(train), columns, quantile).withColumnsRenamed({c: f"_{c}" for c in columns})
     return rows.join(F.broadcast(bounds)).withColumns({c: F.least(F.col(c).cast("double"), F.coalesce(F.col(f"_{c}"), F.col(c).cast("double"))) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 

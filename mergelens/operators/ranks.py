@@ -54,22 +54,33 @@ def running(rows: DataFrame, by: list[str], order: list, sums: dict[str, Column]
     return both.withColumns({f"before_{n}": F.col(f"before_{n}") - F.col(f"_b_{n}") for n in sums}).drop(*[f"_g_{c}" for c in by], *[f"_{k}_{n}" for n in sums for k in "bv"])
 
 
+def counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, v, n of each distinct value that is no null, with before_n and all_n in ascending order: equal values are counted before anything is dealt out."""
+    some = rows.select(*by, F.col(value).alias("v")).where("v is not null")
+    return running(some.groupBy(*by, "v").agg(F.count("*").alias("n")), by, ["v"], {"n": F.col("n")})
+
+
+def standing(place: Column) -> Column:
+    """Aggregate over `counted`: the value at a place from 0."""
+    return F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("v")))
+
+
 def quantiles(rows: DataFrame, columns: list[str], at: list[float], by: list[str] | None = None) -> DataFrame:
     """For each group, and each of columns as `feature`, an array `q` of exact quantiles with linear interpolation; nulls take no part.
 
-    Equal values are counted before anything is dealt out, and the counts' running sums tell which values stand at the two places around each
-    quantile. A feature without values has no row."""
+    The running sums of the distinct values' counts tell which values stand at the two places around each quantile. A feature without values has no row."""
     by = by or []
-    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x")).select(*by, "_x.*").where("v is not null")
-    counted = running(long.groupBy(*by, "feature", "v").agg(F.count("*").alias("n")), [*by, "feature"], ["v"], {"n": F.col("n")})
-
-    def standing(place):
-        return F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("v")))
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x")).select(*by, "_x.*")
 
     def one(p):
         place = F.lit(p) * (F.col("all_n") - 1)
         return F.struct(standing(F.floor(place)).alias("a"), standing(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("share"))
 
-    found = counted.groupBy(*by, "feature").agg(*[one(p).alias(f"_q{i}") for i, p in enumerate(at)])
+    found = counted(long, [*by, "feature"], "v").groupBy(*by, "feature").agg(*[one(p).alias(f"_q{i}") for i, p in enumerate(at)])
     value = lambda i: F.col(f"_q{i}.a") + (F.col(f"_q{i}.b") - F.col(f"_q{i}.a")) * F.col(f"_q{i}.share")
     return found.select(*by, "feature", F.array(*[value(i) for i in range(len(at))]).alias("q"))
+
+
+def bounds(rows: DataFrame, columns: list[str], at: float) -> DataFrame:
+    """One row with the quantile of each column under its name; null for a column without values."""
+    return quantiles(rows, columns, [at]).agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(c) for c in columns])

@@ -7,11 +7,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,3 +98,44 @@ def training_table(figures: DataFrame, outcomes: DataFrame, splits: DataFrame, k
     figures has zeros."""
     joined = outcomes.select(key, "label").join(splits.select(key, "split"), key).join(figures, key, "left")
     return ml.matrix(joined, [key, "label", "split"], names)
+
+
+class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features of a radial-basis kernel exp(-gamma |x - y|^2): their inner products estimate it, so a linear model over them stands for a model
+    with that kernel, in time linear in the rows. Directions follow from the seed and the vectors' length alone, so a stored stage gives the same."""
+
+    gamma = Param(Params._dummy(), "gamma", "the kernel's width", TypeConverters.toFloat)
+    size = Param(Params._dummy(), "size", "how many features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the directions", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, gamma=0.1, size=256, seed=42):
+        super().__init__()
+        self._setDefault(gamma=0.1, size=256, seed=42)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        gamma, size, seed = (self.getOrDefault(p) for p in (self.gamma, self.size, self.seed))
+
+        def features(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            x = np.stack(vectors.to_numpy())
+            drawn = np.random.default_rng(seed)
+            directions, phases = drawn.normal(size=(x.shape[1], size)) * math.sqrt(2 * gamma), drawn.uniform(0, 2 * math.pi, size)
+            return pd.Series(list(np.cos(x @ directions + phases) * math.sqrt(2 / size)))
+
+        made = F.pandas_udf(features, "array<double>")(vector_to_array(F.col(self.getInputCol())))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(made))
+
+
+def radial_svm(train: DataFrame, features: list[str], gammas: list[float], penalties: list[float], sizes: list[int] = (128, 256), folds: int = 5, parallelism: int = 4, seed: int = 42, rounds: int = 20) -> tuple[PipelineModel, list[tuple[dict, float]]]:
+    """A support vector machine with a radial-basis kernel, by random Fourier features: the best of a grid by cross-validated area under the ROC curve, and every
+    candidate's mean of it. 3 widths, 3 penalties and 2 sizes are 18 candidates."""
+    fourier = RandomFourier(inputCol="scaled", outputCol="features", seed=seed)
+    svm = LinearSVC(weightCol="weight", maxIter=rounds)
+    whole = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), fourier, svm])
+    grid = ParamGridBuilder().addGrid(fourier.gamma, list(gammas)).addGrid(fourier.size, list(sizes)).addGrid(svm.regParam, list(penalties)).build()
+    judge = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
+    found = CrossValidator(estimator=whole, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, parallelism=parallelism, seed=seed).fit(ml.weighted(train))
+    return found.bestModel, [({p.name: v for p, v in c.items()}, m) for c, m in zip(grid, found.avgMetrics, strict=True)]

@@ -6,11 +6,15 @@ repository, quality: whether it was merged), an order's lines are its files, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergelens.functions import diffs, paths, text
-from mergelens.operators import metrics, responses, rules, similarity, stats
+from mergelens.operators import metrics, moments, neighbours, ranks, responses, rules, service, similarity, stats
+from mergelens.storage import shared_dir
+from mergelens.streaming import history
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -94,10 +98,24 @@ def corr_matrix(spark, d):
     return t(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("quantity_price"), F.round(F.corr("l_discount", "l_tax"), 6).alias("discount_tax"))
 
 
+MEASURES = {
+    "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "parts": "l_partkey % 1000", "suppliers": "CASE WHEN l_suppkey % 7 > 0 THEN l_suppkey END",
+    "flagged": "CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END", "open": "CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END", "churn": "l_quantity * (1 + l_discount) + l_linenumber", "same": "1", "none": "CASE WHEN l_quantity < 0 THEN 1.0 END",
+}
+_PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in list(MEASURES)[i + 1 :]]
+
+
+@query("WITH m AS (SELECT " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in MEASURES.items()) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, CASE WHEN min({a}) FILTER ({b} IS NOT NULL) < max({a}) FILTER ({b} IS NOT NULL) AND min({b}) FILTER ({a} IS NOT NULL) < max({b}) FILTER ({a} IS NOT NULL) THEN round(corr({a}, {b}), 6) END AS correlation FROM m" for a, b in _PAIRS))
+def correlation_pairs(spark, d):
+    """All pairs of twelve measures, some with missing values, one constant, one without any."""
+    rows = t(spark, d, "lineitem").select(*[F.expr(v).cast("double").alias(k) for k, v in MEASURES.items()])
+    return moments.correlations(rows, list(MEASURES)).withColumn("correlation", F.round("correlation", 6) + F.lit(0.0))
+
+
 @query("WITH p AS (SELECT quantile_cont(n_chars, 0.99) AS top FROM documents) SELECT CAST(least(29, floor(30 * n_chars / top)) AS BIGINT) AS bin, count(*) AS n FROM documents, p WHERE n_chars <= top GROUP BY 1")
 def trimmed_histogram(spark, d):
     docs = t(spark, d, "documents")
-    top = docs.agg(F.percentile("n_chars", F.lit(0.99)).alias("top"))
+    top = ranks.bounds(docs, ["n_chars"], 0.99).withColumnRenamed("n_chars", "top")
     return docs.crossJoin(top).where("n_chars <= top").groupBy(F.least(F.lit(29), F.floor(30 * F.col("n_chars") / F.col("top"))).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -108,7 +126,9 @@ def heatmap_pivot(spark, d):
 
 @query("SELECT lang, quantile_cont(n_chars, 0.5) AS median, round(avg(CAST(n_chars > 10000 AS DOUBLE)), 6) AS over FROM documents GROUP BY 1")
 def context_length_stats(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.percentile("n_chars", F.lit(0.5)).alias("median"), F.round(F.avg((F.col("n_chars") > 10000).cast("double")), 6).alias("over"))
+    docs = t(spark, d, "documents")
+    over = docs.groupBy("lang").agg(F.round(F.avg((F.col("n_chars") > 10000).cast("double")), 6).alias("over"))
+    return over.join(ranks.quantiles(docs, ["n_chars"], [0.5], ["lang"]), "lang", "left").select("lang", F.col("q")[0].alias("median"), "over")
 
 
 # --- texts ---
@@ -391,14 +411,48 @@ def fp_correction(spark, d):
 _DRAW = "md5(doc_id || '-42')"
 
 
-@query(f"WITH r AS (SELECT doc_id, source || '_' || quality AS s, (row_number() OVER (PARTITION BY source || '_' || quality ORDER BY {_DRAW}, doc_id) - 1) / CAST(count(*) OVER (PARTITION BY source || '_' || quality) AS DOUBLE) AS p FROM ({LABELLED})) SELECT doc_id, CASE WHEN p < 0.7::DOUBLE THEN 'train' WHEN p < 0.85::DOUBLE THEN 'val' ELSE 'test' END AS split FROM r")
+def _stage(name: str, rows: str, share: str) -> str:
+    """CTEs that end in <name>: rows with `first`, true for all but ceil(share of them)."""
+    return f"""{name}_k AS (SELECT *, CASE WHEN (SELECT min(n) < 3 FROM (SELECT count(*) AS n FROM {rows} GROUP BY source, quality)) THEN quality::VARCHAR ELSE source || '_' || quality END AS s FROM {rows}),
+{name}_t AS (SELECT s, n, n * (of - ceil({share} * of)) / of::DOUBLE AS exact, (of - ceil({share} * of))::BIGINT AS total FROM (SELECT s, count(*) AS n, sum(count(*)) OVER () AS of FROM {name}_k GROUP BY s)),
+{name}_a AS (SELECT s, floor(exact)::BIGINT + (row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, s) <= total - sum(floor(exact)) OVER ())::INTEGER AS take FROM {name}_t),
+{name} AS (SELECT k.* EXCLUDE (s), row_number() OVER (PARTITION BY k.s ORDER BY {_DRAW}, doc_id) <= take AS first FROM {name}_k k JOIN {name}_a a ON a.s = k.s)"""
+
+
+_SPLIT = f"""(WITH l AS ({LABELLED}), {_stage('one', 'l', str(1 - 0.7) + '::DOUBLE')}, rest AS (SELECT * EXCLUDE (first) FROM one WHERE NOT first), {_stage('two', 'rest', str((1 - 0.7 - 0.15) / (1 - 0.7)) + '::DOUBLE')}
+SELECT doc_id, source, quality, 'train' AS split FROM one WHERE first UNION ALL SELECT doc_id, source, quality, CASE WHEN first THEN 'val' ELSE 'test' END FROM two)"""
+
+
+def split(spark, d):
+    return stats.stratified_split(labelled(spark, d).select("doc_id", "source", "quality"), "doc_id", ["source", "quality"], ["quality"])
+
+
+@query(f"SELECT doc_id, split FROM {_SPLIT}")
 def split_assign(spark, d):
-    return stats.stratified_split(labelled(spark, d), "doc_id", F.concat_ws("_", "source", "quality")).select("doc_id", "split")
+    return split(spark, d).select("doc_id", "split")
 
 
-@query(f"WITH r AS (SELECT quality, (row_number() OVER (PARTITION BY source || '_' || quality ORDER BY {_DRAW}, doc_id) - 1) / CAST(count(*) OVER (PARTITION BY source || '_' || quality) AS DOUBLE) AS p FROM ({LABELLED})) SELECT CASE WHEN p < 0.7::DOUBLE THEN 'train' WHEN p < 0.85::DOUBLE THEN 'val' ELSE 'test' END AS split, count(*) AS n, round(avg(quality), 6) AS rate FROM r GROUP BY 1")
+@query(f"SELECT split, source, count(*) AS n, sum(quality)::BIGINT AS merged, sum(1 - quality)::BIGINT AS unmerged, round(avg(quality), 4) AS rate FROM {_SPLIT} GROUP BY GROUPING SETS ((split), (split, source))")
 def split_summary(spark, d):
-    return stats.stratified_split(labelled(spark, d), "doc_id", F.concat_ws("_", "source", "quality")).groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("rate"))
+    return stats.split_summary(split(spark, d), "source", "quality")
+
+
+@query(f"SELECT doc_id FROM documents QUALIFY row_number() OVER (ORDER BY {_DRAW}, doc_id) <= (SELECT count(*) // 10 FROM documents)")
+def uniform_tenth(spark, d):
+    docs = t(spark, d, "documents").select("doc_id")
+    n = docs.agg(F.floor(F.count("*") / 10).cast("long").alias("_n"))
+    return stats.uniform_sample(docs.crossJoin(F.broadcast(n)), "doc_id", F.col("_n")).select("doc_id")
+
+
+_RATE = f"(SELECT round_even(10 * avg(quality), 0)::BIGINT FROM ({LABELLED}))"
+
+
+@query(f"""WITH l AS ({LABELLED}), c AS (SELECT source, count(*) FILTER (quality = 1) AS yes, count(*) FILTER (quality = 0) AS no FROM l GROUP BY source),
+y AS (SELECT source, no, least(yes, {_RATE}) + least(greatest(10 - least(yes, {_RATE}) - least(no, 10 - {_RATE}), 0), yes - least(yes, {_RATE})) AS y FROM c)
+SELECT doc_id, source, quality FROM l JOIN (SELECT source, y, least(no, 10 - y) AS n FROM y) USING (source) QUALIFY row_number() OVER (PARTITION BY source, quality ORDER BY (length(text) > 1000) DESC, {_DRAW}, doc_id) <= CASE quality WHEN 1 THEN y ELSE n END""")
+def matched_sample(spark, d):
+    rows = labelled(spark, d).select("doc_id", "source", "quality", (F.length("text") > 1000).alias("long"))
+    return stats.matched_sample(rows, "quality", "source", "doc_id", F.col("long")).select("doc_id", "source", "quality")
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {_DRAW}, doc_id LIMIT 20")
@@ -583,29 +637,35 @@ def as_of_history(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", F.count("*").over(w).alias("earlier"), F.round(F.avg("value").over(w), 6).alias("earlier_mean"))
 
 
-_TITLED = f"(SELECT doc_id, source, n_chars, len(string_split(text, chr(10))) AS files, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 80)), '\\s+'), lambda x: x <> '')) AS t FROM ({LABELLED}))"
+_TITLED = f"(SELECT doc_id, source, n_chars, len(string_split(text, chr(10))) AS files, list_distinct(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '\\s+'), lambda x: x <> '')) AS t FROM ({LABELLED}))"
+
+
+def titled(docs):
+    """Documents as change requests: lines are files, the words of the first line the title."""
+    whole = F.split(text.safe(F.col("text")), "\n")
+    return docs.withColumns({"files": F.size(whole), "title": F.array_distinct(text.lower_tokens(whole[0]))})
 
 
 @query(f"SELECT q.doc_id, c.doc_id AS similar, round(3 * (q.source = c.source)::INTEGER + 2 * exp(-abs(q.files - c.files) / 10.0::DOUBLE) + 2 * exp(-abs(q.n_chars - c.n_chars) / 500.0::DOUBLE) + 2 * (CASE WHEN len(q.t) = 0 THEN 0 ELSE len(list_intersect(q.t, c.t)) / len(q.t)::DOUBLE END), 4) AS score FROM {_TITLED} q JOIN {_TITLED} c ON q.doc_id <> c.doc_id WHERE q.doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY score DESC, c.doc_id) <= 3")
 def similar_topk(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "source", F.size(F.split(text.safe(F.col("text")), "\n")).alias("files"), "n_chars", F.array_distinct(text.lower_tokens(F.substring("text", 1, 80))).alias("title"))
-    rows = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id")
-    return similarity.similar(rows, rows.where("doc_id % 50 = 0"), "doc_id", "source", "files", "n_chars", "title", 3)
+    rows = titled(labelled(spark, d))
+    return neighbours.similar(rows, rows.where("doc_id % 50 = 0"), "doc_id", "source", "files", "n_chars", "title", 3)
 
 
 # --- features ---
 @query("SELECT doc_id, least(CAST(n_chars AS DOUBLE), (SELECT quantile_cont(n_chars, 0.99) FROM documents)) AS capped FROM documents")
 def winsorize_all(spark, d):
     docs = t(spark, d, "documents")
-    return docs.crossJoin(docs.agg(F.percentile("n_chars", F.lit(0.99)).alias("p"))).select("doc_id", F.least(F.col("n_chars").cast("double"), "p").alias("capped"))
+    return docs.crossJoin(F.broadcast(ranks.bounds(docs, ["n_chars"], 0.99).withColumnRenamed("n_chars", "p"))).select("doc_id", F.least(F.col("n_chars").cast("double"), "p").alias("capped"))
 
 
 @query("WITH b AS (SELECT avg(n_chars) AS m, nullif(stddev_pop(n_chars), 0) AS s, quantile_cont(n_chars, 0.75) AS q FROM documents WHERE doc_id % 10 < 7) SELECT doc_id, round((n_chars - m) / coalesce(s, 1), 6) AS z, CAST(n_chars > q AS INTEGER) AS large FROM documents, b")
 def standardize_train(spark, d):
     docs = t(spark, d, "documents")
-    b = docs.where("doc_id % 10 < 7").agg(F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s"), F.percentile("n_chars", F.lit(0.75)).alias("q"))
+    train = docs.where("doc_id % 10 < 7")
+    b = train.agg(F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s")).crossJoin(ranks.bounds(train, ["n_chars"], 0.75).withColumnRenamed("n_chars", "q"))
     z = (F.col("n_chars") - F.col("m")) / F.coalesce(F.nullif(F.col("s"), F.lit(0.0)), F.lit(1.0))
-    return docs.crossJoin(b).select("doc_id", F.round(z, 6).alias("z"), (F.col("n_chars") > F.col("q")).cast("int").alias("large"))
+    return docs.crossJoin(F.broadcast(b)).select("doc_id", F.round(z, 6).alias("z"), (F.col("n_chars") > F.col("q")).cast("int").alias("large"))
 
 
 @query()
@@ -673,7 +733,24 @@ def history_lookup(spark, d):
     return t(spark, d, "events").where("event_id = 17").select("event_id", "user_id", "event_type", "value")
 
 
-@query("SELECT kind, arg_min(model, priority) AS model FROM (VALUES ('auto', 'llm', 0, false), ('auto', 'forest', 1, true), ('auto', 'svm', 2, true), ('auto', 'rules', 3, true)) v(kind, model, priority, ready) WHERE ready GROUP BY kind")
+_MODELS = "(SELECT source AS id, ['llm', 'rf', 'svm', 'rules', 'other'][(count(*) % 5 + 1)::INTEGER] AS kind, sum(n_chars) % 2 = 0 AS ready FROM documents GROUP BY source)"
+
+
+@query(f"SELECT 'auto' AS wanted, id, kind FROM (SELECT id, kind FROM {_MODELS} WHERE ready AND kind <> 'other' ORDER BY CASE kind WHEN 'llm' THEN 1 WHEN 'rf' THEN 2 WHEN 'svm' THEN 3 ELSE 4 END, id LIMIT 1) UNION ALL SELECT 'named', id, kind FROM {_MODELS} WHERE id = 'src3'")
 def model_choice(spark, d):
-    rows = spark.createDataFrame([("auto", "llm", 0, False), ("auto", "forest", 1, True), ("auto", "svm", 2, True), ("auto", "rules", 3, True)], "kind string, model string, priority int, ready boolean")
-    return rows.where("ready").groupBy("kind").agg(F.min_by("model", "priority").alias("model"))
+    """A registry of models, one for each source: its kind follows its number of documents, and it is ready if their length is even."""
+    kinds = F.array(*map(F.lit, ("llm", "rf", "svm", "rules", "other")))
+    models = t(spark, d, "documents").groupBy(F.col("source").alias("id")).agg(F.element_at(kinds, (F.count("*") % 5 + 1).cast("int")).alias("kind"), (F.sum("n_chars") % 2 == 0).alias("ready"))
+    named = lambda how, x: x.select(F.lit(how).alias("wanted"), "id", "kind")
+    return named("auto", service.choose(models)).unionByName(named("named", service.choose(models, "src3")))
+
+
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, strftime(min(ts), '%Y%m%dT%H%M%S') AS first_seen FROM events GROUP BY user_id ORDER BY min(ts) DESC, user_id DESC LIMIT 40")
+def history_stream(spark, d):
+    """The first event of each user as a history that a stream of the events keeps: the 40 newest."""
+    seen = ["user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id"]
+    stream = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select(*seen)  # a pattern, as the table may be one file
+    place = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    history.follow(stream, f"{place}/rows", f"{place}/checkpoint", "user_id", "ts").awaitTermination()
+    rows = history.newest(history.stored(spark, f"{place}/rows", stream.schema), "ts", "user_id", 40)
+    return rows.select("user_id", "event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss").alias("first_seen"))

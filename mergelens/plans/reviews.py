@@ -6,12 +6,17 @@ document is also a file of code in one of five languages, whose lines are picked
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mergelens.functions import diffs, paths, signals, text
-from mergelens.operators import contexts, deployable, evaluation, ml, requests, rules, service, similarity, stats, structure
-from mergelens.plans.catalog import FILES, LABELLED, changes, labelled, lines, query, t
+from mergelens.operators import contexts, deployable, evaluation, ml, ranks, requests, rules, service, similarity, stages, stats, structure
+from mergelens.plans.catalog import _SPLIT, FILES, LABELLED, changes, labelled, lines, query, t
+from mergelens.sources import io
+from mergelens.storage import shared_dir
 
 # --- code in five languages ---
 LINES = {
@@ -27,7 +32,7 @@ EXT = list(LINES)
 def code_files(spark, d):
     ext = F.element_at(F.array(*map(F.lit, EXT)), (F.col("doc_id") % 5 + 1).cast("int"))
     kinds = F.array(*[F.array(*map(F.lit, LINES[e])) for e in EXT])
-    docs = t(spark, d, "documents").select("doc_id", ext.alias("ext"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("k"), F.split(text.safe(F.col("text")), " ").alias("w"))
+    docs = io.spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", ext.alias("ext"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("k"), F.split(text.safe(F.col("text")), " ").alias("w"))
     line = lambda w, i: F.replace(F.element_at(F.col("k"), (F.length(w) + i) % 12 + 1), F.lit("N"), F.length(w).cast("string"))
     return docs.select(F.col("doc_id").alias("file_id"), F.floor(F.col("doc_id") / 5).alias("pr_id"), "ext", F.array_join(F.transform("w", line), "\n").alias("code"))
 
@@ -238,12 +243,12 @@ def file_language(spark, d):
 
 
 # --- signs of generated code ---
-_FIELDS = {"title": "CASE doc_id % 7 WHEN 0 THEN 'Copilot and cursor at work' WHEN 1 THEN 'AI agent change' ELSE substr(text, 1, 80) END", "body": "text", "commit_messages": "lang", "label_names": "CASE WHEN doc_id % 9 = 0 THEN 'gpt, ok' ELSE source END", "author": "source", "review_comments_text": "CASE WHEN doc_id % 11 = 0 THEN 'main llm review' END"}
+_FIELDS = {"title": "CASE doc_id % 7 WHEN 0 THEN 'Copilot and cursor at work' WHEN 1 THEN 'AI agent change' ELSE string_split(text, chr(10))[1] END", "body": "text", "commit_messages": "lang", "label_names": "CASE WHEN doc_id % 9 = 0 THEN 'gpt, ok' ELSE source END", "author": "source", "review_comments_text": "CASE WHEN doc_id % 11 = 0 THEN 'main llm review' END"}
 
 
 def fields(spark, d):
     k = F.col("doc_id")
-    title = F.when(k % 7 == 0, "Copilot and cursor at work").when(k % 7 == 1, "AI agent change").otherwise(F.substring("text", 1, 80))
+    title = F.when(k % 7 == 0, "Copilot and cursor at work").when(k % 7 == 1, "AI agent change").otherwise(F.split("text", "\n")[0])
     return t(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("body"), F.col("lang").alias("commit_messages"), F.when(k % 9 == 0, "gpt, ok").otherwise(F.col("source")).alias("label_names"), F.col("source").alias("author"), F.when(k % 11 == 0, "main llm review").alias("review_comments_text"))
 
 
@@ -436,8 +441,10 @@ def combo_comparison(spark, d):
 
 @query(f"SELECT prompt, quantile_cont(duration, 0.25) AS q25, quantile_cont(duration, 0.5) AS median, quantile_cont(duration, 0.75) AS q75, round(avg((NOT parsed)::INTEGER), 6) AS parse_fail_rate FROM {RUNS} GROUP BY 1")
 def latency_box(spark, d):
-    q = F.percentile("duration", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return runs(spark, d).groupBy("prompt").agg(q.alias("q"), F.round(F.avg((~F.col("parsed")).cast("int")), 6).alias("parse_fail_rate")).select("prompt", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "parse_fail_rate")
+    x = runs(spark, d)
+    boxes = ranks.quantiles(x, ["duration"], [0.25, 0.5, 0.75], ["prompt"])
+    failed = x.groupBy("prompt").agg(F.round(F.avg((~F.col("parsed")).cast("int")), 6).alias("parse_fail_rate"))
+    return failed.join(boxes, "prompt", "left").select("prompt", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "parse_fail_rate")
 
 
 @query(f"SELECT prompt, CAST(len(v) AS BIGINT) AS runs, v[len(v) // 2 + 1] AS median, v[least(CAST(floor(len(v) * 0.95::DOUBLE) AS INTEGER), len(v) - 1) + 1] AS p95 FROM (SELECT prompt, list_sort(list(duration)) AS v FROM (SELECT * FROM {RUNS} QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY run) > 1) GROUP BY 1)")
@@ -449,12 +456,12 @@ def said(spark, d):
     """Turns of a conversation as comments on the document of its number."""
     level = F.element_at(F.array(*map(F.lit, evaluation.SEVERITIES)), (F.col("turn") % 4 + 1).cast("int"))
     rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", level.alias("severity"), F.concat(F.col("text"), F.lit(" please check the file")).alias("comment")))).alias("comments"))
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 400)).alias("reference"), F.col("source").alias("method"))
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("reference"), F.col("source").alias("method"))
     factors = F.array(F.lit("missing check"), F.lit("zzzz"), F.concat(F.lit("file "), F.col("conv_id").cast("string")))
     return rows.join(docs, "conv_id").withColumn("factors", factors)
 
 
-SAID = f"""(SELECT c.conv_id, d.source AS method, c.comments, c.levels, CASE WHEN doc_id % 3 > 0 THEN substr(d.text, 1, 400) END AS reference, ['missing check', 'zzzz', 'file ' || conv_id] AS factors FROM
+SAID = f"""(SELECT c.conv_id, d.source AS method, c.comments, c.levels, CASE WHEN doc_id % 3 > 0 THEN d.text END AS reference, ['missing check', 'zzzz', 'file ' || conv_id] AS factors FROM
  (SELECT conv_id, list(text || ' please check the file' ORDER BY turn) AS comments, list({_words(evaluation.SEVERITIES)}[(turn % 4 + 1)::INTEGER] ORDER BY turn) AS levels FROM conversations GROUP BY 1) c JOIN documents d ON d.doc_id = c.conv_id)"""
 _TOKENS = "list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '')"
 QUALITY = f"""(SELECT *, len(own) > 0 AND len(ref) > 0 AS paired, list_distinct(list_transform(list_filter(list_zip(own, own[2:]), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL), lambda z: z[1] || ' ' || z[2])) AS own2, list_distinct(list_transform(list_filter(list_zip(ref, ref[2:]), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL), lambda z: z[1] || ' ' || z[2])) AS ref2
@@ -487,9 +494,9 @@ def best_examples(spark, d):
     return evaluation.best_examples(rows.select("pr_id", F.round(evaluation.precision_words(F.col("a"), F.col("b")), 6).alias("bleu"), "generated"), 5)
 
 
-@query("WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 80)), '\\s+'), lambda x: x <> '')) AS t FROM documents) SELECT a.doc_id, CASE WHEN len(a.t) = 0 THEN 0 ELSE round(len(list_intersect(a.t, b.t)) / len(a.t)::DOUBLE, 6) END AS overlap FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
+@query("WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '\\s+'), lambda x: x <> '')) AS t FROM documents) SELECT a.doc_id, CASE WHEN len(a.t) = 0 THEN 0 ELSE round(len(list_intersect(a.t, b.t)) / len(a.t)::DOUBLE, 6) END AS overlap FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
 def title_overlaps(spark, d):
-    w = t(spark, d, "documents").select("doc_id", text.lower_tokens(F.substring("text", 1, 80)).alias("t"))
+    w = t(spark, d, "documents").select("doc_id", text.lower_tokens(F.split("text", "\n")[0]).alias("t"))
     return w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("o")), "doc_id").select("doc_id", F.round(evaluation.title_overlap(F.col("t"), F.col("o")), 6).alias("overlap"))
 
 
@@ -508,7 +515,7 @@ def risk_checklist(spark, d):
     return x.select("pr_id", *[F.col("c").contains(v).alias(k) for k, v in has.items()])
 
 
-_COUNTS = ", ".join(f"(CASE WHEN quality = 0 THEN len(regexp_extract_all(lower(coalesce(substr(text, 1, 80), '')), '{w}')) ELSE 0 END) AS k{i}" for i, w in enumerate(contexts.CLOSED_FOR))
+_COUNTS = ", ".join(f"(CASE WHEN quality = 0 THEN len(regexp_extract_all(lower(coalesce(string_split(text, chr(10))[1], '')), '{w}')) ELSE 0 END) AS k{i}" for i, w in enumerate(contexts.CLOSED_FOR))
 _KEPT = ", ".join(f"CASE WHEN sk{i} - k{i} >= 2 THEN '{w}(x' || CAST(sk{i} - k{i} AS BIGINT) || ')' END" for i, w in enumerate(contexts.CLOSED_FOR))
 POLICY = f"""(WITH o AS (SELECT doc_id, source AS repo, quality, toxic, {_COUNTS}, (trim(text) <> '')::INTEGER AS rv, CASE WHEN trim(text) <> '' THEN length(text) ELSE 0 END AS rc, ({_any('text', contexts.POLICY)})::INTEGER AS sg FROM ({LABELLED})),
  s AS (SELECT *, count(*) OVER w - 1 AS others, sum(quality) OVER w - quality AS m, sum(rv) OVER w - rv AS r, sum(rc) OVER w - rc AS c, sum(sg) OVER w - sg AS g, {', '.join(f'sum(k{i}) OVER w AS sk{i}' for i in range(len(contexts.CLOSED_FOR)))} FROM o WINDOW w AS (PARTITION BY repo))
@@ -516,7 +523,7 @@ POLICY = f"""(WITH o AS (SELECT doc_id, source AS repo, quality, toxic, {_COUNTS
 
 
 def policy_rows(spark, d):
-    return labelled(spark, d).select("doc_id", F.col("source").alias("repo"), (F.col("quality") == 1).alias("merged"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("review"))
+    return labelled(spark, d).select("doc_id", F.col("source").alias("repo"), (F.col("quality") == 1).alias("merged"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("review"))
 
 
 @query(f"SELECT * FROM {POLICY}")
@@ -537,20 +544,6 @@ def base_context(spark, d):
     return x.select("pr_id", F.regexp_extract("c", r"(?m)^Repository: (.*)$", 1).alias("repo"), F.regexp_count("c", F.lit(r"(?m)^- \[modified\]")).cast("long").alias("files"), F.col("c").contains("## PR Title").alias("titled"))
 
 
-@query()
-def context_grid(spark, d):
-    """All eight contexts of each request: length and whether it is beyond 10000 characters."""
-    x = asked(spark, d)
-    c = F.col
-    risks = contexts.checklist(c("files"), c("title"), c("body"), c("total_additions"), c("commit_messages"))
-    rows = x.withColumns({k: contexts.base(k) for k in ("C1", "C2", "C3", "C4")}).withColumn("risks", risks)
-    policy = contexts.policy_figures(x.select("pr_id", "repo", "merged", "title", F.col("body").alias("review")))
-    rows = rows.join(policy, ["repo", "pr_id"]).withColumn("policy", contexts.policy_text(c("repo"), c("others"), c("merge_rate"), c("review_ratio"), c("review_length"), c("closed_for"), c("policy_signs")))
-    none = F.array().cast("array<struct<rank:int,score:double,title:string,repo:string,merged:boolean,review:string>>")
-    rows = rows.withColumns({k: contexts.combined(c("C4"), c("risks"), c("policy"), contexts.history_text(none), k) for k in ("C5", "C6", "C7", "C8")})
-    return rows.select("pr_id", F.explode(F.array(*[F.struct(F.lit(k).alias("context"), F.length(k).cast("long").alias("chars"), (F.length(k) > 10_000).alias("over"), (F.size(contexts.leaks(c(k))) > 0).alias("leaks")) for k in (f"C{i}" for i in range(1, 9))])).alias("x")).select("pr_id", "x.*")
-
-
 _NAMED = "text || CASE doc_id % 4 WHEN 0 THEN ' Merge_Status: open' WHEN 1 THEN ' num_reviewers of it' ELSE '' END"
 
 
@@ -560,10 +553,10 @@ def leakage_lint(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(contexts.leaks(named), ",").alias("leaks"))
 
 
-@query("SELECT doc_id, prompt, CAST(length(system) AS BIGINT) AS system_chars, CAST(length(replace(u, '{context}', substr(text, 1, 300))) + CASE WHEN few THEN length('Example one') + 2 ELSE 0 END AS BIGINT) AS user_chars FROM documents, (VALUES ('P1', 'You review.', 'Look: {context}', false), ('P2', 'You review.', 'Look: {context} Now.', true)) v(prompt, system, u, few)")
+@query("SELECT doc_id, prompt, CAST(length(system) AS BIGINT) AS system_chars, CAST(length(replace(u, '{context}', text)) + CASE WHEN few THEN length('Example one') + 2 ELSE 0 END AS BIGINT) AS user_chars FROM documents, (VALUES ('P1', 'You review.', 'Look: {context}', false), ('P2', 'You review.', 'Look: {context} Now.', true)) v(prompt, system, u, few)")
 def prompt_messages(spark, d):
     templates = spark.createDataFrame([("P1", "You review.", "Look: {context}", False), ("P2", "You review.", "Look: {context} Now.", True)], "prompt string, system string, user string, few_shot boolean")
-    rows = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("context"), F.lit("Example one").alias("shots"))
+    rows = t(spark, d, "documents").select("doc_id", F.col("text").alias("context"), F.lit("Example one").alias("shots"))
     m = contexts.messages(rows, templates, shots="shots")
     return m.select("doc_id", "prompt", F.length(F.col("messages")[0]["content"]).cast("long").alias("system_chars"), F.length(F.col("messages")[1]["content"]).cast("long").alias("user_chars"))
 
@@ -607,6 +600,38 @@ def history_records(spark, d):
 
 
 # --- features ---
+CONTRACT = ["additions", "lines", "absent", "words", "title_chars", "toxic"]
+_CONTRACT = "CASE WHEN d.doc_id % 9 > 0 THEN d.n_chars END::DOUBLE AS additions, len(string_split(d.text, chr(10)))::DOUBLE AS lines, len(string_split(d.text, ' '))::DOUBLE AS words, length(string_split(d.text, chr(10))[1])::DOUBLE AS title_chars"
+
+
+def contract_rows(spark, d):
+    """Documents as changes: figures of nine in ten, outcomes of those with a label, and the stratified split."""
+    docs = t(spark, d, "documents")
+    figures = docs.where("doc_id % 10 > 0").select("doc_id", F.size(F.split("text", "\n")).alias("lines"), F.when(F.col("doc_id") % 9 > 0, F.col("n_chars")).alias("additions"), F.size(F.split("text", " ")).alias("words"), F.length(F.split("text", "\n")[0]).alias("title_chars"), (F.col("doc_id") % 2).alias("toxic"))
+    rows = labelled(spark, d).select("doc_id", "source", "quality", F.col("quality").alias("label"))
+    return stages.training_table(figures, rows, stats.stratified_split(rows, "doc_id", ["source", "quality"], ["quality"]), "doc_id", CONTRACT)
+
+
+@query(f"""WITH t AS (SELECT l.doc_id, l.quality AS label, s.split, coalesce(f.additions, 0) AS additions, coalesce(f.lines, 0) AS lines, 0.0::DOUBLE AS absent, coalesce(f.words, 0) AS words, coalesce(f.title_chars, 0) AS title_chars, coalesce(f.toxic, 0) AS toxic
+ FROM ({LABELLED}) l JOIN {_SPLIT} s ON s.doc_id = l.doc_id LEFT JOIN (SELECT d.doc_id, {_CONTRACT}, (d.doc_id % 2)::DOUBLE AS toxic FROM documents d WHERE d.doc_id % 10 > 0) f ON f.doc_id = l.doc_id),
+b AS (SELECT {', '.join(f'quantile_cont({c}, 0.9) AS {c}' for c in CONTRACT)} FROM t WHERE split <> 'test')
+SELECT t.doc_id, t.label, t.split, {', '.join(f'round(least(t.{c}, b.{c}), 6) AS {c}' for c in CONTRACT)} FROM t, b""")
+def training_table(spark, d):
+    """The training table as the stored stages make it: aligned to a contract with a name that no table has, cut at bounds of train and val rows."""
+    rows = contract_rows(spark, d)
+    fitted = stages.Winsorizer(inputCols=CONTRACT, quantile=0.9).fit(rows.where("split <> 'test'"))
+    return fitted.transform(stages.Aligner(inputCols=CONTRACT).transform(rows)).select("doc_id", "label", "split", *[F.round(c, 6).alias(c) for c in CONTRACT])
+
+
+@query()
+def refitted_scores(spark, d):
+    """Test rows scored by a pipeline that was refitted on train and val, stored and loaded."""
+    rows = contract_rows(spark, d)
+    place = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    stages.refit(rows, stages.training_pipeline(CONTRACT, ml.model_of("logistic"))).write().save(place)
+    return ml.scored(PipelineModel.load(place), rows.where("split = 'test'"), "doc_id")
+
+
 @query("WITH b AS (SELECT quantile_cont(n_chars, 0.99) AS p FROM documents WHERE doc_id % 10 < 7) SELECT doc_id, least(n_chars::DOUBLE, p) AS n_chars FROM documents, b")
 def winsorize_train(spark, d):
     return ml.winsorize(t(spark, d, "documents").select("doc_id", "n_chars"), ["n_chars"], F.col("doc_id") % 10 < 7)
@@ -628,15 +653,23 @@ def feature_availability(spark, d):
     return deployable.availability(t(spark, d, "events"), {"view": "supported", "click": "supported", "purchase": "derived"}, "event_type")
 
 
+@query()
+def radial_grid(spark, d):
+    """The 18 candidates of the radial-basis grid on train rows, each with its mean area under the ROC curve over five folds."""
+    rows = contract_rows(spark, d).where("split = 'train'")
+    _, tried = stages.radial_svm(rows, CONTRACT, [0.01, 0.1, 1.0], [0.001, 0.01, 0.1], [64, 128], rounds=10)
+    return spark.createDataFrame([(c["gamma"], c["size"], c["regParam"], round(float(a), 6)) for c, a in tried], "gamma double, size int, penalty double, auc double")
+
+
 @query()
 def svm_scores(spark, d):
     rows = labelled(spark, d).select("doc_id", "n_chars", "toxic", F.col("quality").alias("label"))
     return ml.scored(ml.fit(rows.where("doc_id % 10 < 7"), ["n_chars", "toxic"], "svm"), rows, "doc_id").drop("guess")
 
 
-@query("SELECT doc_id, round(3 * (q.source = c.source)::INTEGER + 2 * exp(-abs(q.f - c.f) / 10.0::DOUBLE) + 2 * exp(-abs(q.n_chars - c.n_chars) / 500.0::DOUBLE) + 2 * CASE WHEN len(q.t) = 0 THEN 0 ELSE len(list_intersect(q.t, c.t)) / len(q.t)::DOUBLE END, 4) AS score FROM (SELECT *, len(string_split(text, chr(10))) AS f, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 80)), '\\s+'), lambda x: x <> '')) AS t FROM documents) q JOIN (SELECT doc_id - 1 AS before, source, n_chars, len(string_split(text, chr(10))) AS f, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 80)), '\\s+'), lambda x: x <> '')) AS t FROM documents) c ON c.before = q.doc_id")
+@query("SELECT doc_id, round(3 * (q.source = c.source)::INTEGER + 2 * exp(-abs(q.f - c.f) / 10.0::DOUBLE) + 2 * exp(-abs(q.n_chars - c.n_chars) / 500.0::DOUBLE) + 2 * CASE WHEN len(q.t) = 0 THEN 0 ELSE len(list_intersect(q.t, c.t)) / len(q.t)::DOUBLE END, 4) AS score FROM (SELECT *, len(string_split(text, chr(10))) AS f, list_distinct(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '\\s+'), lambda x: x <> '')) AS t FROM documents) q JOIN (SELECT doc_id - 1 AS before, source, n_chars, len(string_split(text, chr(10))) AS f, list_distinct(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '\\s+'), lambda x: x <> '')) AS t FROM documents) c ON c.before = q.doc_id")
 def pair_similarity(spark, d):
-    own = t(spark, d, "documents").select("doc_id", "source", "n_chars", F.size(F.split("text", "\n")).alias("f"), F.array_distinct(text.lower_tokens(F.substring("text", 1, 80))).alias("t"))
+    own = t(spark, d, "documents").select("doc_id", "source", "n_chars", F.size(F.split("text", "\n")).alias("f"), F.array_distinct(text.lower_tokens(F.split("text", "\n")[0])).alias("t"))
     other = own.select((F.col("doc_id") - 1).alias("doc_id"), *[F.col(c).alias(f"o_{c}") for c in ("source", "n_chars", "f", "t")])
     x = own.join(other, "doc_id")
     s = similarity.similarity(F.col("source") == F.col("o_source"), F.abs(F.col("f") - F.col("o_f")), F.abs(F.col("n_chars") - F.col("o_n_chars")), evaluation.title_overlap(F.col("t"), F.col("o_t")))

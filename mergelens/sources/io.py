@@ -87,3 +87,10 @@ def report(title: str, tables: dict[str, DataFrame], most: int = 200, markdown:
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where a few files would keep most of them idle, as a file is split by its row groups at best; many files are left as they lie, so
+    nothing large is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

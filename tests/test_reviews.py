@@ -109,10 +109,10 @@ def test_budget_drops_history_first(spark):
 
 
 def test_history_text(spark):
-    kind = "array<struct<rank:int,score:double,title:string,repo:string,merged:boolean,review:string>>"
-    rows = spark.createDataFrame([([(1, 7.25, "t", "r", True, "good")],), ([],)], f"n {kind}")
+    kind = "array<struct<rank:int,score:double,title:string,repo:string,files:int,additions:long,deletions:long,merged:boolean,review:string>>"
+    rows = spark.createDataFrame([([(1, 7.25, "t", "r", 2, 5, 1, True, "good")],), ([],)], f"n {kind}")
     some, none = (r[0] for r in rows.select(contexts.history_text(F.col("n"))).collect())
-    assert "score 7." in some and "merged" in some and "- Review: good" in some and none.endswith("No other requests.")
+    assert "score 7.3" in some and "- Files: 2, lines: +5 -1" in some and "merged" in some and "- Review: good" in some and none.endswith("No other requests.")
 
 
 def test_service(spark):
@@ -210,7 +210,9 @@ def test_requests_are_tried_again():
     def broken(u, p):
         raise ConnectionError
 
-    assert rest.get(broken, "u", {}, pace) == (None, {}) and clock.slept == [2, 3, 5, 9, 17]
+    with pytest.raises(rest.Unavailable):
+        rest.get(broken, "u", {}, pace)
+    assert clock.slept == [2, 3, 5, 9, 17]
     pace.after({"X-RateLimit-Remaining": "3", "X-RateLimit-Reset": str(clock.now + 10)})
     clock.slept.clear()
     pace.before()
@@ -237,3 +239,88 @@ def test_rest_source(spark, tmp_path):
 
 def test_paths(spark):
     assert one(spark, paths.language(F.lit("a/b.KT"))) == "kotlin" and one(spark, paths.language(F.lit("Makefile"))) is None
+
+
+def test_changed_files_of_any_diff_and_a_long_one(spark):
+    """Against a walk over the lines, and 100,000 added lines in one file and over many."""
+    import random
+    import re
+    import time
+
+    def walk(diff):
+        files, at = {}, None
+        for x in (diff or "").split("\n"):
+            m = re.fullmatch("diff --git a/(.+) b/(.+)", x)
+            if m or x.startswith("+++ b/"):
+                at = m[2] if m else x[6:]
+                files.setdefault(at, [])
+            elif at is not None and x.startswith("+") and not x.startswith("+++"):
+                files[at].append(x[1:])
+        return list(files.items())
+
+    r = random.Random(2)
+    some = ["diff --git a/x b/x", "diff --git a/y b/y", "+++ b/x", "+++ b/z", "+++ /dev/null", "+one", "+", "++two", "-gone", " same", "diff --git a/x", "@@ -1 +1 @@", "+++"]
+    texts = [None, "", *["\n".join(r.choice(some) for _ in range(r.randint(0, 25))) for _ in range(200)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, d string")
+    for x in rows.select("k", deployable.changed_files(F.col("d")).alias("f")).collect():
+        assert [(f.path, list(f.added)) for f in x.f] == walk(texts[x.k]), texts[x.k]
+    for files in (1, 2000):
+        long = "\n".join(f"diff --git a/f{i} b/f{i}\n+++ b/f{i}\n" + "\n".join(f"+line {j}" for j in range(100_000 // files)) for i in range(files))
+        row = spark.createDataFrame([(long,)], "d string").repartition(1).cache()
+        row.count()
+        began = time.time()
+        assert row.select(F.size(deployable.changed_files(F.col("d")))).first()[0] == files
+        assert time.time() - began < 5
+
+
+def test_flow_against_a_graph(spark):
+    """Figures of the fold against nodes and edges kept in lists, on random files with lines of all classes in all languages."""
+    import random
+
+    from mergelens.plans.reviews import LINES
+
+    def graph(lines, ext):
+        known = [x for x in (structure.classified_line(x, ext) for x in lines) if x is not None] or [("statement", 0)]
+        nodes, edges, stack, deepest, fresh, entered = ["entry"], [], [], 0, False, set()
+        last = 0
+        for name, level in known:
+            while stack and stack[-1]["level"] >= level:
+                deepest = max(deepest, len(stack))
+                stack.pop()
+            node = len(nodes)
+            if name == "else":
+                if not stack or not stack[-1]["branch"]:
+                    continue
+                edges.append((stack[-1]["node"], node))
+                stack[-1] = {"node": node, "level": level, "branch": True}
+                fresh = True
+            else:
+                edges.append((last, node))
+                if name in ("branch", "loop"):
+                    stack.append({"node": node, "level": level, "branch": name == "branch"})
+                    fresh = True
+                elif name in ("statement", "exit"):
+                    if fresh and stack:
+                        if stack[-1]["node"] not in entered:
+                            entered.add(stack[-1]["node"])
+                            edges.append((stack[-1]["node"], node))
+                        fresh = False
+                else:
+                    fresh = False
+            nodes.append(name)
+            last = node
+        count = lambda *k: sum(n in k for n in nodes)
+        return (len(nodes), len(edges), count("branch", "else"), count("loop"), count("exit", "jump"), max(0, len(edges) - len(nodes) + 2), deepest, round(len(edges) / max(len({a for a, _ in edges}), 1), 4))
+
+    r, rows, classes = random.Random(8), [], set()
+    for ext, some in LINES.items():
+        indented = [" " * r.choice([0, 0, 4, 8, 12]) + x.strip() for x in some for _ in range(4)] + ["", "  ", "break", "else:", "else {", "  else {", "case 1:", "raise E", "finally:"]
+        for _ in range(60):
+            lines = [r.choice(indented) for _ in range(r.randint(1, 40))]
+            classes |= {x[0] for x in map(lambda line: structure.classified_line(line, ext), lines) if x}  # noqa: B023
+            rows.append((len(rows), "\n".join(lines), ext))
+    assert classes == {"exit", "jump", "branch", "else", "loop", "exception", "statement"}
+    found = spark.createDataFrame(rows, "k int, code string, ext string").select("k", "code", "ext", structure.flow(F.col("code"), F.col("ext")).alias("x")).collect()
+    for x in found:
+        want = graph(x.code.split("\n"), x.ext) if x.code.strip() else (0, 0, 0, 0, 0, 0, 0, 0.0)
+        assert tuple(x.x) == want, (x.ext, x.code)

@@ -44,3 +44,33 @@ def test_training_table(spark, rows):
     found = stages.training_table(figures, rows, rows, "k", ["b", "z", "a"])
     assert found.columns == ["k", "label", "split", "b", "z", "a"] and found.count() == 300
     assert tuple(found.where("k = 3").first())[3:] == (0.0, 0.0, 0.0)
+
+
+def test_fourier_features_estimate_the_kernel(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(1).normal(size=(20, 3))
+    rows = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], ["i", "v"])
+    stage = stages.RandomFourier(inputCol="v", outputCol="f", gamma=0.3, size=4000)
+    f = np.stack([r.f.toArray() for r in stage.transform(rows).orderBy("i").collect()])
+    kernel = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert abs(f @ f.T - kernel).max() < 0.08
+
+
+def test_two_rings_need_the_kernel(spark, tmp_path):
+    import math
+    import random
+
+    r = random.Random(3)
+    points = []
+    for i in range(300):
+        radius, angle = (1 if i % 2 else 3) + r.gauss(0, 0.2), r.uniform(0, 2 * math.pi)
+        points.append((i, radius * math.cos(angle), radius * math.sin(angle), i % 2))
+    rows = spark.createDataFrame(points, "k int, x double, y double, label int").cache()
+    model, tried = stages.radial_svm(rows.where("k < 200"), ["x", "y"], [0.5, 1.0], [0.01], [64], folds=3)
+    assert len(tried) == 2 and max(a for _, a in tried) > 0.98
+    model.write().overwrite().save(str(tmp_path / "m"))
+    held = rows.where("k >= 200")
+    right = lambda m: ml.scored(m, held, "k").where("label = guess").count()
+    assert right(PipelineModel.load(str(tmp_path / "m"))) >= 97 and right(ml.fit(rows.where("k < 200"), ["x", "y"], "svm")) < 85
