@@ -324,3 +324,18 @@ def test_flow_against_a_graph(spark):
     for x in found:
         want = graph(x.code.split("\n"), x.ext) if x.code.strip() else (0, 0, 0, 0, 0, 0, 0, 0.0)
         assert tuple(x.x) == want, (x.ext, x.code)
+
+
+def test_no_template_is_left_out(spark):
+    rows = spark.createDataFrame([(1, "c")], "k int, context string")
+    templates = lambda n: spark.createDataFrame([(f"P{i}", "s", "u {context}", False) for i in range(n)], "prompt string, system string, user string, few_shot boolean")
+    assert contexts.messages(rows, templates(100)).count() == 100
+    with pytest.raises(ValueError, match="templates"):
+        contexts.messages(rows, templates(contexts.TEMPLATES + 1))
+
+
+def test_checklist_looks_at_patches_and_flags(spark):
+    files = F.array(F.struct(F.lit("a.py").alias("path"), F.lit("x").alias("added")))
+    said = lambda **more: one(spark, contexts.checklist(files, F.lit("t"), F.lit("b" * 200), F.lit(1), F.lit(""), **more))
+    assert "API_CHANGE" not in said() and "Flagged" not in said()
+    assert "API_CHANGE_NO_DOCS" in said(patches=array("-export y")) and "Flagged as generated code" in said(flagged=F.lit(True))
