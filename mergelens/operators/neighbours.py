@@ -6,7 +6,7 @@ them, by turns), so that neighbours in it are alike in both; 8 of them are a lea
 each with the range of both sizes, and so does all of the table once more without groups. As both exponentials fall monotonically, a
 node's ranges bound the scores of all its rows. Each query is taken through three waves, and no pair of a query with all rows ever exists:
 
-1. it walks down both trees to the leaf of the best bound; the k-th best score there is its floor;
+1. it walks down both trees to the leaf of the best bound (to more of them if k needs it); the k-th best score there is its floor;
 2. rows that share a word of at most `common` rows with it are found by the word, and looked at if their sizes let them reach the floor;
 3. what is left shares only words of more rows, so their share of the title bounds the overlap: the query walks down the trees again and opens every node whose
    bound with that share, rounded like a score, is above the floor of the first two waves, or equals it while the node has a smaller key than the k-th best, so
@@ -53,8 +53,8 @@ class Tree:
             level = table(own.groupBy("_k", "_p").agg(F.min("_l_f").alias("_l_f"), F.max("_u_f").alias("_u_f"), F.min("_l_a").alias("_l_a"), F.max("_u_a").alias("_u_a"), F.min("_least").alias("_least")), "nodes")
             self.levels.append(level)
 
-    def leaves(self, asked: DataFrame, best: bool = False) -> DataFrame:
-        """asked (_q, _qg, _qf, _qa, _share, _floor, _last: the key of the k-th best) with the leaves (_k, _p) that may hold a better row, or with the best only."""
+    def leaves(self, asked: DataFrame, best: int = 0) -> DataFrame:
+        """asked (_q, _qg, _qf, _qa, _share, _floor, _last: the key of the k-th best) with the leaves (_k, _p) that may hold a better row, or with so many of the best."""
         gap = lambda q, c: F.greatest(F.col(f"_l{c}") - F.col(q), F.col(q) - F.col(f"_u{c}"), F.lit(0))
         bound = F.round(similarity(F.lit(self.grouped), gap("_qf", "_f"), gap("_qa", "_a"), F.col("_share")), 4)
         better = F.col("_floor").isNull() | (F.col("_bound") > F.col("_floor")) | ((F.col("_bound") == F.col("_floor")) & (F.col("_least") < F.col("_last")))
@@ -63,7 +63,7 @@ class Tree:
         for level in reversed(self.levels):
             below = found.join(level.withColumn("_up", F.shiftright("_p", BITS)), ["_k", "_up"]).withColumn("_bound", bound)
             if best:
-                below = per_group_cap(below, "_q", 1, F.desc("_bound"), "_p")
+                below = per_group_cap(below, "_q", best, F.desc("_bound"), "_p")
             found = below.where(better).select(*asked.columns, "_k", F.col("_p").alias("_up"))
         return found.withColumnRenamed("_up", "_p")
 
@@ -96,7 +96,7 @@ def similar(rows: DataFrame, queries: DataFrame, key: str, group: str, files: st
     trees = [Tree(held, True), Tree(held, False)]
 
     plain = asked.withColumns({"_share": F.lit(0.0), "_floor": F.lit(None).cast("double"), "_last": F.lit(None).cast(asked.schema["_q"].dataType)}).drop("_qt")
-    opened = [tree.rows.join(tree.leaves(plain, best=True), ["_k", "_p"]).drop("_k", "_p", "_last") for tree in trees]
+    opened = [tree.rows.join(tree.leaves(plain, 1 + k // ((1 << LEAF) - 1)), ["_k", "_p"]).drop("_k", "_p", "_last") for tree in trees]
     first = table(_best(opened[0].unionByName(opened[1]), titles, k), "first")
 
     def floors(found: DataFrame) -> DataFrame:
