@@ -66,7 +66,7 @@ def history_id(request_id, time) -> Column:
 
 def records(reviews: DataFrame, store_source: bool = False) -> DataFrame:
     """History rows of reviews (request_id, time, model_id, kind, error, files, diff and figures): a failed one keeps 500 characters of its error;
-    sources only if asked for, 4000 characters of the diff and 2000 of each of the first five files, as a list, since two may have one path."""
+    sources only if asked for, 4000 characters of the diff and 2000 of each of the first five files, by path; of two with one path the last."""
     failed = F.col("error").isNotNull()
     own = history_id(F.col("request_id"), F.col("time"))
     status = F.when(failed, "failed").otherwise("completed")
@@ -75,7 +75,8 @@ def records(reviews: DataFrame, store_source: bool = False) -> DataFrame:
     if not store_source:
         return out
     some = F.filter(F.slice("files", 1, 5), lambda x: x["content"].isNotNull())
-    return out.withColumns({"source_diff": F.when(~failed, F.substring("diff", 1, 4000)), "source_files": F.when(~failed, F.transform(some, lambda x: F.struct(x["path"].alias("path"), F.substring(x["content"], 1, 2000).alias("content"))))}).drop("files", "diff")
+    last = F.filter(some, lambda x, i: ~F.exists(F.slice(some, i + 2, F.lit(5)), lambda y: y["path"] == x["path"]))
+    return out.withColumns({"source_diff": F.when(~failed, F.substring("diff", 1, 4000)), "source_files": F.when(~failed, F.map_from_entries(F.transform(last, lambda x: F.struct(x["path"], F.substring(x["content"], 1, 2000)))))}).drop("files", "diff")
 
 
 def review(requests: DataFrame, store_source: bool = False) -> DataFrame:

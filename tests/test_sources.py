@@ -121,4 +121,4 @@ def test_sources_of_files_with_one_path(spark):
     import datetime
 
     rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1), "file", [("a", "x"), ("a", "y"), ("b", None)], "")], kind)
-    assert [tuple(f) for f in service.review(rows, True).first().source_files] == [("a", "x"), ("a", "y")]
+    assert service.review(rows, True).first().source_files == {"a": "y"}
