@@ -28,13 +28,14 @@ def rates(counts: DataFrame, digits: int = 6) -> DataFrame:
     return counts.withColumns({k: F.round(v, digits) for k, v in named.items()})
 
 
-def roc_auc(rows: DataFrame, by: list[str], label: str = "label", score: str = "score", null_as_half: bool = False) -> DataFrame:
+def roc_auc(rows: DataFrame, by: list[str], label: str = "label", score: str = "score", null_as_half: bool = False, digits: int | None = 6) -> DataFrame:
     """By mid-ranks over the distinct scores; null where a group has one class only."""
     s = F.coalesce(score, F.lit(0.5)) if null_as_half else F.col(score)
     bins = rows.select(*by, s.alias("s"), F.col(label).alias("y")).where("s is not null").groupBy(*by, "s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     ranked = ranks.running(bins, by, ["s"], {"n": F.col("n")}).withColumn("mid", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"), F.sum(F.col("mid") * F.col("p")).alias("ranks"))
-    return sums.select(*by, F.round(F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")), 6).alias("roc_auc"))
+    area = F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg"))
+    return sums.select(*by, (area if digits is None else F.round(area, digits)).alias("roc_auc"))
 
 
 def _thresholds(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:

@@ -74,3 +74,36 @@ def test_two_rings_need_the_kernel(spark, tmp_path):
     held = rows.where("k >= 200")
     right = lambda m: ml.scored(m, held, "k").where("label = guess").count()
     assert right(PipelineModel.load(str(tmp_path / "m"))) >= 97 and right(ml.fit(rows.where("k < 200"), ["x", "y"], "svm")) < 85
+
+
+def test_a_grid_is_fitted_in_few_passes_and_as_one_by_one(spark):
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    x = np.random.default_rng(5).normal(size=(240, 2))
+    points = [(i, float(a), 3 * float(b), 0.0, int(a * a + b > 0.8)) for i, (a, b) in enumerate(x)]
+    rows = spark.createDataFrame(points, "k int, x double, y double, none double, label int").withColumn("fold", F.col("k") % 3).cache()
+    names, gammas, penalties, sizes = ["x", "y", "none"], [0.05, 1.0], [0.001, 0.1], [16, 32]
+    spark.sparkContext.setJobGroup("grid", "grid")
+    _, tried = stages.radial_svm(rows, names, gammas, penalties, sizes, folds=3, rounds=8, fold=F.col("fold"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid")) < 120  # one by one takes a job for each step of each of 24 machines
+
+    fourier, svm = stages.RandomFourier(inputCol="scaled", outputCol="features"), LinearSVC(weightCol="weight", maxIter=8)
+    whole = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), fourier, svm])
+    grid = ParamGridBuilder().addGrid(fourier.gamma, gammas).addGrid(fourier.size, sizes).addGrid(svm.regParam, penalties).build()
+    judge = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label", numBins=0)
+    single = CrossValidator(estimator=whole, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="fold").fit(ml.weighted(rows))
+    assert [c for c, _ in tried] == [{p.name: v for p, v in c.items()} for c in grid]
+    assert [a for _, a in tried] == [pytest.approx(float(a), abs=1e-9) for a in single.avgMetrics]
+
+
+def test_a_held_out_fold_of_one_class_counts_as_nothing_or_all(spark):
+    points = [(float(i), i % 2, 0) for i in range(30)] + [(float(i), 1, 1) for i in range(5)] + [(float(i), 0, 2) for i in range(5)]
+    rows = spark.createDataFrame(points, "x double, label int, fold int")
+    _, tried = stages.radial_svm(rows, ["x"], [0.5], [0.01], [8], folds=3, rounds=2, fold=F.col("fold"))
+    assert 1 / 3 <= tried[0][1] <= 2 / 3  # 1 for all of label 1, 0 for none, and the mixed fold's own
