@@ -42,8 +42,8 @@ from .common import U64, batch_of, flat_bytes, mapped, mix, partitions, read, sl
 GRAM = 24
 HOLD = 500_000
 FINE = 4
-CHUNK, WIDE = 1 << 20, 2 << 20
-WORDS_PER_SLICE = 2 << 20
+CHUNK, WIDE = 1 << 17, 2 << 20  # a chunk's arrays stay in a core's cache; which hashes are wide is another matter
+WORDS_PER_SLICE = 1 << 18
 ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -345,9 +345,14 @@ def apply_findings(rows: DataFrame, length: int, shards: int, keep_text: bool) -
     return rows.repartition(shards // FINE, "shard").sortWithinPartitions("shard", "first").transform(mapped, run, DONE)
 
 
+def since(new: np.ndarray) -> np.ndarray:
+    """Where the run of each place begins; new: whether a place differs from the one before, from the second on."""
+    return np.maximum.accumulate(np.where(np.append(True, new), np.arange(len(new) + 1), 0))
+
+
 def suffix_ranks(flat: np.ndarray, left: np.ndarray, least: int = 1) -> list[tuple[int, np.ndarray]]:
-    """For 8, 16, 32, ... bytes the rank of each suffix by its first so many; a suffix ends with its text, of which it has `left` bytes.
-    Equal ranks are equal strings. The last ranks tell all suffixes apart but those that are equal to their ends; they are made only for
+    """For 8, 16, 32, ... bytes the rank of each suffix by its first so many (how many are smaller); a suffix ends with its text, of which it has
+    `left` bytes. Equal ranks are equal strings; only what a doubling can still tell apart is sorted again. The last ranks tell all suffixes apart but those that are equal to their ends; they are made only for
     suffixes of `least` bytes or more, -1 for others."""
     n, most = len(flat), int(left.max(initial=0))
     short = np.minimum(left, 8)
@@ -356,23 +361,32 @@ def suffix_ranks(flat: np.ndarray, left: np.ndarray, least: int = 1) -> list[tup
     word[ends] &= ~(U64(0xFFFFFFFFFFFFFFFF) >> (short[ends].astype(U64) * U64(8)))
     if n and not flat.min():  # a zero byte is not the end of a text
         order = np.lexsort((short, word))
-        new = np.append(False, (word[order][1:] != word[order][:-1]) | (short[order][1:] != short[order][:-1]))[:n]
+        new = (word[order][1:] != word[order][:-1]) | (short[order][1:] != short[order][:-1])
     else:
         order = np.argsort(word)
-        new = np.append(False, word[order][1:] != word[order][:-1])[:n]
+        new = word[order][1:] != word[order][:-1]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
-    levels, have = [(8, rank)], 8
-    while have < most and int(rank.max(initial=0)) < n - 1:
-        at = np.flatnonzero(left >= least) if 2 * have >= most else np.arange(n)
-        on = at[left[at] > have]
-        key = rank * (n + 2)
-        key[on] += rank[on + have] + 1
-        key = key[at]
+    rank[order] = since(new)[:n]
+    levels, have, at = [(8, rank)], 8, order
+    while have < most:
+        # what is alone in its rank, or equal to its end to all of its rank, has its place already
+        heads = np.flatnonzero(np.append(True, rank[at][1:] != rank[at][:-1]))
+        count = np.diff(np.append(heads, len(at)))
+        at = at[np.repeat((count > 1) & (np.maximum.reduceat(left[at], heads) > have), count)]
+        if not len(at):
+            break
+        last = rank.copy()
+        if 2 * have >= most:
+            last[left < least] = -1
+            at = at[left[at] >= least]
+        key = rank[at] * (n + 2)
+        on = np.flatnonzero(left[at] > have)
+        key[on] += rank[at[on] + have] + 1
         order = np.argsort(key)
-        rank = np.full(n, -1)
-        rank[at[order]] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1])[: len(at)])
-        have *= 2
+        at, key = at[order], key[order]
+        old = rank[at]
+        last[at] = old + since(key[1:] != key[:-1])[: len(at)] - since(old[1:] != old[:-1])[: len(at)]
+        rank, have = last, 2 * have
         levels.append((have, rank))
     return levels
 

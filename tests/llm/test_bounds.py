@@ -128,3 +128,15 @@ def test_hosts_by_salts_equal_those_by_broadcast(spark):
     hosts = spark.createDataFrame([(f"h{k}", "s", k) for k in range(3)], "host string, suffix string, n int")
     found = [sorted((r.id, r.n) for r in language.join_known(rows, hosts, ["host", "suffix"], most).collect()) for most in (2, 10)]
     assert found[0] == found[1] == [(i, i % 3) for i in range(50)]
+
+
+def test_only_suffixes_that_are_still_alike_are_sorted_again(monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [r.integers(97, 123, 60).astype(np.uint8).tobytes() for _ in range(200)] + [r.integers(97, 123, 5000).astype(np.uint8).tobytes()]
+    texts += [texts[0] + b"x", texts[0] + b"y"]
+    n, sorted_ = sum(map(len, texts)), []
+    argsort = np.argsort
+    monkeypatch.setattr(repeats.np, "argsort", lambda x, *a, **k: sorted_.append(len(x)) or argsort(x, *a, **k))
+    starts, factor, _ = repeats.previous_factors(texts, np.arange(len(texts)), 50)
+    assert factor[starts[201]] == 60 and factor[starts[202]] == 60 and (factor >= 50).sum() == 22
+    assert sum(sorted_) < 2 * n  # a text of 5000 bytes asks for ten doublings
