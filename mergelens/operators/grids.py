@@ -57,7 +57,7 @@ def descent(size: int, rounds: int, memory: int = 10, tolerance: float = 1e-6) -
         down, shrink = way @ slope, 0.5 if turn else 0.1
         length = shrink * (1.0 if turn else 0.5 / max(np.linalg.norm(slope), 1e-300))  # its search never takes the first length
         found = None
-        for _ in range(20 if np.isfinite(way).all() and down < 0 else 0):
+        for left in reversed(range(19 if np.isfinite(way).all() and down < 0 else 0)):
             to = x + length * way
             to = np.where(np.sign(to) == side, to, 0.0)
             now, there = yield to
@@ -68,6 +68,8 @@ def descent(size: int, rounds: int, memory: int = 10, tolerance: float = 1e-6) -
             elif there @ way > -0.9 * down:
                 length *= shrink
             else:
+                left = 0
+            if not left:  # good, or the last that it tries
                 found = to, now, there
                 break
             if not 1e-10 <= length <= 1e10:
